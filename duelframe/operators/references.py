@@ -1,15 +1,16 @@
 """Problem 1: references to records that do not exist.
 
 Records and references become signed change deltas per key: a record adds one to
-existence when it is loaded and takes it away when it is deleted, a reference adds to
-the references of its key at the time its row was loaded. The running sum of existence at a
-reference tells whether the key exists then; keys with references and no existence form the
-orphan report, now or at any past time.
-
-Skew: references are first summed per key, time and row spelling with map-side aggregation.
-A count of rows per hash bucket of the keys (bounded in number) tells whether some key is
-hot. The running sum of the keys in a hot bucket has two levels, per (key, day) and over the days of
-a key, so that a key with a third of all rows is spread over as many tasks as it has days.
+existence when it is loaded and takes it away when it is deleted, a reference counts at the
+time its row was loaded. The running sum of existence at a reference tells whether the
+key exists then; keys with references and no existence form the orphan report, now or at any
+past time.
+
+A row that refers to a battle and to a side of the battle is one delta of two nested keys,
+so it is shuffled once, by the outer key; the running sums of both keys then need no other shuffle. A
+count of rows per hash bucket of the keys (bounded in number) tells whether some key is hot. The sums of
+keys in a hot bucket have two levels, per (key, day) and over the days of a key, so that a
+key with a third of all rows is spread over as many tasks as it has days.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from pyspark.sql import functions as F
 
 from duelframe.functions.text import key
 
-#: A slot number that is null in the row.
-NO_SLOT = -(1 << 31)
 BUCKETS = 4096
 #: Rows of one key that one task may sort without harm.
 HOT_ROWS = 2_000_000
+#: The day of deltas without a time, before all others.
+NO_DAY = -(1 << 31)
+#: Columns of a delta: key space, outer and inner key, time, signed existence and loads of the outer (a_) and
+#: inner (b_) key, and for references the row's spelling (null where it equals the key) and slot.
+DELTA = "space string, k1 string, k2 string, at long, a_exists int, a_loads int, b_exists int, b_loads int, refers boolean, spelled_1 string, spelled_2 string, slot int"
 
 
 def _at(col: str) -> Column:
@@ -31,13 +35,17 @@ def _at(col: str) -> Column:
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
-def existence_deltas(records: DataFrame, target: str, keys: list[Column], deleted: str | None = "deleted_at") -> DataFrame:
-    """(target, k1, k2, at, exists, loads): signed existence deltas of the records of one table.
+def _delta(rows: DataFrame, **values: Column) -> DataFrame:
+    columns = [part.split() for part in DELTA.split(", ")]
+    return rows.select(*[(values[n] if n in values else F.lit(None)).cast(t).alias(n) for n, t in columns])
+
+
+def existence_deltas(records: DataFrame, space: str, keys: list[Column], deleted: str | None = "deleted_at") -> DataFrame:
+    """Signed existence deltas of the records of one table, for the outer key or, with two keys, the inner one.
 
     A record deleted before or when it is loaded never exists, one without a load time neither;
-    both still count as records of the key. Blank keys give nothing.
+    both still count as records of the key. Blank keys give nothing. Copies of a record cancel as they add.
     """
-    k = keys + [F.lit("")] * (2 - len(keys))
     loaded = _at("loaded_at")
     gone = _at(deleted) if deleted else F.lit(None).cast("long")
     lives = loaded.isNotNull() & (gone.isNull() | (gone > loaded))
@@ -45,21 +53,36 @@ def existence_deltas(records: DataFrame, target: str, keys: list[Column], delete
         F.struct(loaded.alias("at"), F.when(lives, 1).otherwise(0).alias("exists"), F.lit(1).alias("loads")),
         F.struct(F.when(lives, gone).alias("at"), F.lit(-1).alias("exists"), F.lit(0).alias("loads")),
     )
-    rows = records.select(F.lit(target).alias("target"), k[0].alias("k1"), k[1].alias("k2"), F.explode(steps).alias("s"))
-    rows = rows.select("target", "k1", "k2", "s.*").where("k1 IS NOT NULL AND k2 IS NOT NULL AND (at IS NOT NULL OR loads = 1)")
-    return rows.groupBy("target", "k1", "k2", "at").agg(F.sum("exists").alias("exists"), F.sum("loads").alias("loads"))
+    if not deleted:
+        steps = F.slice(steps, 1, 1)
+    k2 = keys[1] if len(keys) > 1 else F.lit(None)
+    rows = records.select(keys[0].alias("k1"), k2.cast("string").alias("k2"), F.explode(steps).alias("s")).where("k1 IS NOT NULL AND (s.at IS NOT NULL OR s.loads = 1)")
+    if len(keys) > 1:
+        rows = rows.where("k2 IS NOT NULL")
+    level = "b" if len(keys) > 1 else "a"
+    return _delta(rows, space=F.lit(space), k1=F.col("k1"), k2=F.col("k2"), at=F.col("s.at"), refers=F.lit(False), **{f"{level}_exists": F.col("s.exists"), f"{level}_loads": F.col("s.loads")})
+
+
+def reference_deltas(rows: DataFrame, space: str, keys: list[Column], spelling: list[Column], slot: Column) -> DataFrame:
+    """One delta per referring row; the outer key must not be blank."""
+    k2 = keys[1] if len(keys) > 1 else F.lit(None).cast("string")
+    picked = rows.select(keys[0].alias("k1"), k2.alias("k2"), _at("loaded_at").alias("at"), spelling[0].alias("s1"), spelling[1].alias("s2"), slot.alias("slot")).where("k1 IS NOT NULL")
+    return _delta(
+        picked, space=F.lit(space), k1=F.col("k1"), k2=F.col("k2"), at=F.col("at"), refers=F.lit(True), slot=F.col("slot"),
+        spelled_1=F.when(~F.col("s1").eqNullSafe(F.col("k1")), F.coalesce("s1", F.lit(ABSENT))), spelled_2=F.when(~F.col("s2").eqNullSafe(F.col("k2")), F.coalesce("s2", F.lit(ABSENT))),
+    )
 
 
-def reference_deltas(rows: DataFrame, targets: dict[str, list[Column]], spelling: list[Column], slots: Column) -> DataFrame:
-    """(target, k1, k2, at, battle_id, player_side, slots): the references of each row to several targets."""
-    blank = F.lit("")
-    each = F.array(*[F.struct(F.lit(t).alias("target"), k[0].alias("k1"), (k[1] if len(k) > 1 else blank).alias("k2")) for t, k in targets.items()])
-    picked = rows.select(_at("loaded_at").alias("at"), spelling[0].alias("battle_id"), spelling[1].alias("player_side"), slots.alias("slots"), F.explode(each).alias("r"))
-    return picked.select("r.*", "at", "battle_id", "player_side", "slots").where("k1 IS NOT NULL AND k2 IS NOT NULL")
+#: Stands for a null spelling beside a key that is not null.
+ABSENT = "\x00null"
+
+
+def _bucket(k1: Column) -> Column:
+    return F.pmod(F.xxhash64(k1), F.lit(BUCKETS)).cast("int")
 
 
 def hot_buckets(keys: list[DataFrame], hot_rows: int = HOT_ROWS) -> list[int]:
-    """Hash buckets of the first key column that hold far more rows than others, at most BUCKETS numbers."""
+    """Hash buckets of the key that hold far more rows than others, at most BUCKETS numbers."""
     rows = keys[0]
     for k in keys[1:]:
         rows = rows.union(k)
@@ -68,70 +91,67 @@ def hot_buckets(keys: list[DataFrame], hot_rows: int = HOT_ROWS) -> list[int]:
     return [r.bucket for r in counts if r.n > max(hot_rows, 2 * mean)]
 
 
-def _bucket(k1: Column) -> Column:
-    return F.pmod(F.xxhash64(k1), F.lit(BUCKETS)).cast("int")
-
-
-def orphan_references(existence: DataFrame, references: DataFrame, hot: list[int] | None = None) -> DataFrame:
-    """The references whose key does not exist at their time, with reason missing, late or deleted.
+def judged_references(deltas: DataFrame, hot: list[int] | None = None) -> DataFrame:
+    """The references with a_reason and b_reason: missing, late, deleted, or null where the key exists.
 
-    hot: buckets from `hot_buckets` whose keys are summed in two levels. A reference without a
-    time is judged by whether its key has any record (missing) and otherwise not reported.
+    missing: no record has the key; late: none was loaded by then; deleted: otherwise. hot:
+    buckets from `hot_buckets`, whose keys are summed in two levels. A reference without a
+    time is judged by whether its key has any record.
     """
-    day = F.coalesce(F.floor(F.col("at") / F.lit(86_400_000_000)).cast("int"), F.lit(NO_SLOT))
-    part = F.when(_bucket(F.col("k1")).isin(hot), day).otherwise(F.lit(0)) if hot else F.lit(0)
-    none = F.lit(None)
-    events = existence.select("target", "k1", "k2", "at", "exists", "loads", none.cast("string").alias("battle_id"), none.cast("string").alias("player_side"), none.cast("array<int>").alias("slots")).unionByName(
-        references.select("target", "k1", "k2", "at", F.lit(0).cast("long").alias("exists"), F.lit(0).cast("long").alias("loads"), "battle_id", "player_side", "slots")
-    ).withColumn("part", part)
-    per_key = ["target", "k1", "k2"]
-    # records before references of the same time; records without a load time are no load before anything
-    timed = F.when(F.col("at").isNull(), 0).otherwise(F.col("loads"))
-    within = Window.partitionBy(*per_key, "part").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    judged = events.withColumns({
-        "exists_now": F.sum("exists").over(within), "loads_now": F.sum(timed).over(within), "records": F.sum("loads").over(Window.partitionBy(*per_key, "part")),
-    }).where("slots IS NOT NULL")
-    if hot:
-        parts = events.where(_bucket(F.col("k1")).isin(hot)).groupBy(*per_key, "part").agg(F.sum("exists").alias("e"), F.sum(timed).alias("t"), F.sum("loads").alias("l"))
-        earlier = Window.partitionBy(*per_key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        carry = parts.select(*per_key, "part", F.sum("e").over(earlier).alias("e"), F.sum("t").over(earlier).alias("t"), F.sum("l").over(Window.partitionBy(*per_key)).alias("l"))
-        judged = judged.join(carry, [*per_key, "part"], "left").withColumns({
-            "exists_now": F.col("exists_now") + F.coalesce("e", F.lit(0)), "loads_now": F.col("loads_now") + F.coalesce("t", F.lit(0)), "records": F.coalesce("l", "records"),
-        })
-    orphan = F.when(F.col("at").isNull(), F.col("records") == 0).otherwise(F.col("exists_now") <= 0)
-    reason = F.when(F.col("records") == 0, "missing").when(F.col("loads_now") <= 0, "late").otherwise("deleted")
-    return judged.where(orphan).select(*per_key, "at", "battle_id", "player_side", "slots", reason.alias("reason"))
-
-
-#: target -> table and field of the referring rows
-FIELDS = {"battle": ("battle_team_slot", "battle_id"), "side": ("battle_team_slot", "player_side"), "player": ("battle_players", "username")}
+    day = F.coalesce(F.floor(F.col("at") / F.lit(86_400_000_000)).cast("int"), F.lit(NO_DAY))
+    events = deltas.withColumn("part", F.when(_bucket(F.col("k1")).isin(hot), day).otherwise(F.lit(0)) if hot else F.lit(0))
+    out = events
+    for level, keys in (("a", ["space", "k1"]), ("b", ["space", "k1", "k2"])):
+        exists, loads = F.col(f"{level}_exists"), F.col(f"{level}_loads")
+        # a record without a load time is no load before anything
+        timed = F.when(F.col("at").isNull(), 0).otherwise(loads)
+        # records come before references of the same time
+        within = Window.partitionBy(*keys, "part").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+        out = out.withColumns({f"{level}_now": F.sum(exists).over(within), f"{level}_past": F.sum(timed).over(within), f"{level}_all": F.sum(loads).over(Window.partitionBy(*keys, "part"))})
+        if hot:
+            parts = events.where(_bucket(F.col("k1")).isin(hot)).withColumn("k2", F.coalesce("k2", F.lit(ABSENT))).groupBy(*keys, "part").agg(F.sum(exists).alias("e"), F.sum(timed).alias("t"), F.sum(loads).alias("l"))
+            earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+            carry = parts.select(*keys, "part", F.sum("e").over(earlier).alias("e"), F.sum("t").over(earlier).alias("t"), F.sum("l").over(Window.partitionBy(*keys)).alias("l"))
+            out = out.join(carry, [*keys, "part"], "left").withColumns({
+                f"{level}_now": F.coalesce(f"{level}_now", F.lit(0)) + F.coalesce("e", F.lit(0)),
+                f"{level}_past": F.coalesce(f"{level}_past", F.lit(0)) + F.coalesce("t", F.lit(0)),
+                f"{level}_all": F.coalesce("l", f"{level}_all"),
+            }).drop("e", "t", "l")
+    for level in "ab":
+        total, now, past = (F.coalesce(f"{level}_{n}", F.lit(0)) for n in ("all", "now", "past"))
+        reason = F.when(total == 0, "missing").when(F.col("at").isNull() | (now > 0), None).when(past <= 0, "late").otherwise("deleted")
+        out = out.withColumn(f"{level}_reason", reason)
+    return out.where("refers")
 
 
 def contest_orphans(slots: DataFrame, players: DataFrame, battles: DataFrame, accounts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(table_name, field, period, battle_id, player_side, slot_no, reason) without repeated rows.
 
-    The three references of the contest tables. Keys are compared without case and surrounding blanks;
-    blank keys refer to nothing. slot_no is 0 for battle_players, null where the row has none.
+    The three references of the contest tables: slots to battles and to sides, players to accounts.
+    Keys are compared without case and surrounding blanks; blank keys refer to nothing. slot_no is 0
+    for battle_players, null where the row has none; period is null for a row without a load time.
     """
-    hot = hot_buckets([slots.select(key("battle_id")), players.select(key("battle_id")), players.select(key("username")), battles.select(key("battle_id")), accounts.select(key("username"))], hot_rows)
-    slot = F.coalesce(F.col("slot_no").cast("int"), F.lit(NO_SLOT))
-    # rows of one roster and time are one reference with a set of slots (at most 65,537 values)
-    rosters = slots.groupBy("battle_id", "player_side", "loaded_at").agg(F.collect_set(slot).alias("slots"))
-    users = players.select("battle_id", "side", "username", "loaded_at").distinct()
-    references = reference_deltas(
-        rosters, {"battle": [key("battle_id")], "side": [key("battle_id"), key("player_side")]}, [F.col("battle_id"), F.col("player_side")], F.col("slots")
-    ).unionByName(reference_deltas(users, {"player": [key("username")]}, [F.col("battle_id"), F.col("side")], F.array(F.lit(0))))
-    existence = (
-        existence_deltas(battles, "battle", [key("battle_id")])
-        .unionByName(existence_deltas(players, "side", [key("battle_id"), key("side")], None))
-        .unionByName(existence_deltas(accounts, "player", [key("username")]))
+    battle, side, user = key("battle_id"), key("player_side"), key("username")
+    hot = hot_buckets([slots.select(battle), players.select(battle), players.select(user), battles.select(battle), accounts.select(user)], hot_rows)
+    # a user row is spelled by its battle and side, so these are carried as they are
+    users = reference_deltas(players, "user", [user], [F.col("battle_id"), F.col("side")], F.lit(0))
+    deltas = (
+        reference_deltas(slots, "battle", [battle, side], [F.col("battle_id"), F.col("player_side")], F.col("slot_no"))
+        .unionByName(users)
+        .unionByName(existence_deltas(battles, "battle", [battle]))
+        .unionByName(existence_deltas(players, "battle", [battle, key("side")], None))
+        .unionByName(existence_deltas(accounts, "user", [user]))
+    )
+    orphans = judged_references(deltas, hot).where("a_reason IS NOT NULL OR (b_reason IS NOT NULL AND k2 IS NOT NULL AND space = 'battle')")
+    row = lambda table, field, reason: F.struct(F.lit(table).alias("table_name"), F.lit(field).alias("field"), reason.alias("reason"))
+    of_slot = F.array(row("battle_team_slot", "battle_id", F.col("a_reason")), row("battle_team_slot", "player_side", F.when(F.col("k2").isNotNull(), F.col("b_reason"))))
+    of_user = F.array(row("battle_players", "username", F.col("a_reason")))
+    spelled = lambda n: F.nullif(F.coalesce(f"spelled_{n}", f"k{n}"), F.lit(ABSENT))
+    return (
+        orphans.select(F.explode(F.when(F.col("space") == "battle", of_slot).otherwise(of_user)).alias("o"), F.date_format(F.timestamp_micros("at"), "yyyy-MM").alias("period"), spelled(1).alias("battle_id"), spelled(2).alias("player_side"), F.col("slot").alias("slot_no"))
+        .where("o.reason IS NOT NULL")
+        .select("o.table_name", "o.field", "period", "battle_id", "player_side", "slot_no", "o.reason").distinct()
     )
-    orphans = orphan_references(existence, references, hot)
-    name = lambda n: F.create_map(*[x for t, f in FIELDS.items() for x in (F.lit(t), F.lit(f[n]))])[F.col("target")]
-    period = F.date_format(F.timestamp_micros("at"), "yyyy-MM")
-    return orphans.select(
-        name(0).alias("table_name"), name(1).alias("field"), period.alias("period"), "battle_id", "player_side", F.explode("slots").alias("slot_no"), "reason"
-    ).withColumn("slot_no", F.nullif("slot_no", F.lit(NO_SLOT))).distinct()
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:

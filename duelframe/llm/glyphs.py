@@ -17,12 +17,14 @@ digits, case and punctuation stay. Null stays null; a blank text becomes ''.
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
@@ -43,6 +45,9 @@ HYPHENS = "\u2010\u2011\u2043\u02d7\u2212\ufe63\uff0d"
 APOSTROPHES = "\u2019\u02bc\ua78c"
 
 SPACE, LF = 32, 10
+#: Bytes of text that are rewritten at once.
+PART_BYTES = 1 << 19
+_CUT = re.compile(rb"[A-Za-z0-9](?=[A-Za-z0-9])")
 _MASK21 = np.uint64(21)
 
 
@@ -166,14 +171,11 @@ def _squeeze(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cp, row
 
 
-def fold(texts: pa.Array, marks: bool = True) -> pa.Array:
-    """The consistent form of every text of an Arrow array; without marks, letters lose their accents."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string())
+def _fold_part(texts: pa.Array, marks: bool) -> pa.Array:
+    """The form of the texts of one part, which is small enough for some arrays of 8 bytes a character."""
     n = len(texts)
     if n == 0:
-        return pa.array([], pa.string())
+        return pa.array([], pa.large_string())
     t = tables()
     valid = np.asarray(texts.is_valid())
     filled = texts.fill_null("")
@@ -210,7 +212,45 @@ def fold(texts: pa.Array, marks: bool = True) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     mask = None if valid.all() else pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
     made = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out), mask)
-    return made.cast(pa.string()) if len(out) < 2**31 - 1 else made
+    return made
+
+def _pieces(text: bytes) -> list[str]:
+    """A very long text in parts, cut between two ASCII letters or digits, where nothing is composed or squeezed."""
+    out, low = [], 0
+    while len(text) - low > PART_BYTES:
+        cut = _CUT.search(text, low + PART_BYTES)
+        if not cut:
+            break
+        out.append(text[low : cut.end()].decode())
+        low = cut.end()
+    return [*out, text[low:].decode()]
+
+
+def fold(texts: pa.Array, marks: bool = True) -> pa.Array:
+    """The consistent form of every text of an Arrow array; without marks, letters lose their accents.
+
+    Works on parts of about PART_BYTES, so memory does not grow with the batch or with one text.
+    """
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = texts.cast(pa.large_string())
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
+    group = np.cumsum(sizes) // PART_BYTES
+    cuts = np.flatnonzero(np.diff(group)) + 1
+    parts = []
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+        longest = int(sizes[low:high].argmax()) + low if high > low else low
+        if high > low and sizes[longest] > 2 * PART_BYTES:
+            for k in range(low, high):
+                if sizes[k] <= 2 * PART_BYTES:
+                    parts.append(_fold_part(texts.slice(k, 1), marks))
+                else:
+                    forms = [_fold_part(pa.array([p], pa.large_string()), marks)[0].as_py() for p in _pieces(texts[k].as_py().encode())]
+                    parts.append(pa.array(["".join(forms)], pa.large_string()))
+        else:
+            parts.append(_fold_part(texts.slice(low, high - low), marks))
+    made = pa.concat_arrays(parts)
+    return made.cast(pa.string()) if made.nbytes < 2**31 - 1 else made
 
 
 def _fold_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -14,8 +14,10 @@ from duelframe.functions import contest as X
 from duelframe.operators import contest as C
 from duelframe.operators import eda as E
 from duelframe.operators import quality as Q
+from duelframe.operators import similarity
 from duelframe.plans import catalogue_sql as S
 from duelframe.session import table
+from duelframe.sources import logs
 
 #: Support limits and segment of the registered queries, fit for the size of the test tables.
 PAIRS, MATCHES, TEAMS, MONTH_SIDES = 30, 20, 40, 40
@@ -79,8 +81,20 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, PLACES).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def _median_item(t: Tables) -> DataFrame:
-    return t.usage
+def composed_logs(t: Tables) -> DataFrame:
+    """(battle_id, log): a log per battle written from its player and roster rows, for the log queries."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    said = t.players.where("side IS NOT NULL").select("battle_id", F.lit(0).alias("part"), text("|player|", F.col("side"), "|", F.col("username"), "|0|", F.col("rating_before")).alias("line"))
+    shown = t.slots.where("player_side IS NOT NULL").select("battle_id", F.lit(1).alias("part"), text("|poke|", F.col("player_side"), "|", F.col("pokemon_name"), "|").alias("line"))
+    ends = t.battle.groupBy("battle_id").agg(F.max("winner_name").alias("w")).where("w IS NOT NULL").select("battle_id", F.lit(2).alias("part"), text("|win|", F.col("w")).alias("line"))
+    lines = said.unionByName(shown).unionByName(ends).where("battle_id IS NOT NULL")
+    # a battle has some fifteen rows; the lines of one battle are one log
+    logs = lines.groupBy("battle_id").agg(F.array_sort(F.collect_list(F.struct("part", "line"))).alias("l"))
+    return logs.select("battle_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("log"))
+
+
+def log_facts(t: Tables, name: str) -> DataFrame:
+    return logs.fact_tables(composed_logs(t))[name]
 
 
 _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
@@ -128,6 +142,9 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "sent_out_histogram": lambda t: Q.sent_out_histogram(t.slots),
     "id_collisions": lambda t: Q.id_collisions(t.battle, "battle_id", "replay_path", 20),
     "first_per_id": lambda t: Q.first_per_id(t.battle, "battle_id", [F.col("loaded_at"), F.col("turn_count")])[1],
+    "log_players": lambda t: log_facts(t, "battle_players").select("battle_id", "side", "username", "rating_before", "result"),
+    "log_rosters": lambda t: log_facts(t, "battle_team_slot").select("battle_id", "player_side", F.col("slot_no").cast("int").alias("slot_no"), "pokemon_name", "form_status"),
+    "item_similarity": lambda t: similarity.most_similar(similarity.train(similarity.corpus(t.slots)), "Nioholkrir", 20),
     "rating_histogram": lambda t: t.players.where("rating_before IS NOT NULL").groupBy((F.floor(F.col("rating_before") / 100) * 100).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("sides")),
 }
 

@@ -163,7 +163,7 @@ sl0 AS (SELECT battle_id, player_side, coalesce(pokemon_name, '') AS pn FROM bat
 
 SQL: dict[str, str] = {
     "log_players": _with(_LOGS, select="SELECT pf.battle_id, side, username, rating_before, CASE WHEN w IS NULL THEN NULL WHEN username = w THEN 'WIN' ELSE 'LOSS' END AS result FROM pf LEFT JOIN pw USING (battle_id)"),
-    "log_rosters": _with(_LOGS, select="SELECT battle_id, player_side, row_number() OVER (PARTITION BY battle_id, player_side ORDER BY '|poke|' || player_side || '|' || pn || '|')::INTEGER AS slot_no, trim(split_part(pn, ',', 1)) AS pokemon_name, CASE WHEN trim(split_part(pn, ',', 1)) LIKE '%-*' THEN 'unobserved' ELSE 'listed' END AS form_status FROM sl0"),
+    "log_rosters": _with(_LOGS, select=f"SELECT battle_id, player_side, row_number() OVER (PARTITION BY battle_id, player_side ORDER BY '|poke|' || player_side || '|' || pn || '|')::INTEGER AS slot_no, trim(split_part(pn, ',', 1), {_WS}) AS pokemon_name, CASE WHEN trim(split_part(pn, ',', 1), {_WS}) LIKE '%-*' THEN 'unobserved' ELSE 'listed' END AS form_status FROM sl0"),
     "scope_contests": _with(_SCOPE, select="SELECT * FROM scope"),
     "band_totals": _with(_SCOPE, select="SELECT * FROM totals"),
     "usage_share": _all(_USAGE, select="SELECT * FROM usage"),

@@ -140,7 +140,7 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "lead_profile": lambda t: Q.species_profile(t.leads),
     "name_probe": lambda t: Q.probe_values(t.leads, "species", "klo"),
     "sent_out_histogram": lambda t: Q.sent_out_histogram(t.slots),
-    "id_collisions": lambda t: Q.id_collisions(t.battle, "battle_id", "replay_path", 20),
+    "id_collisions": lambda t: Q.id_collisions(t.battle, "battle_id", "replay_path"),
     "first_per_id": lambda t: Q.first_per_id(t.battle, "battle_id", [F.col("loaded_at"), F.col("turn_count")])[1],
     "log_players": lambda t: log_facts(t, "battle_players").select("battle_id", "side", "username", "rating_before", "result"),
     "log_rosters": lambda t: log_facts(t, "battle_team_slot").select("battle_id", "player_side", F.col("slot_no").cast("int").alias("slot_no"), "pokemon_name", "form_status"),

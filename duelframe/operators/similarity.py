@@ -16,7 +16,7 @@ def corpus(slots: DataFrame) -> DataFrame:
     return rows.groupBy("battle_id", "player_side").agg(F.array_sort(F.collect_list(F.struct("slot_no", "pokemon_name"))).alias("t")).select("battle_id", "player_side", F.transform("t", lambda x: x["pokemon_name"]).alias("team"))
 
 
-def train(teams: DataFrame, size: int = 32, window: int = 6, min_count: int = 20, iterations: int = 2, seed: int = 7, partitions: int = 4) -> Word2VecModel:
+def train(teams: DataFrame, size: int = 128, window: int = 6, min_count: int = 100, iterations: int = 10, seed: int = 7, partitions: int = 4) -> Word2VecModel:
     return Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=iterations, seed=seed, numPartitions=partitions, inputCol="team", outputCol="v").fit(teams)
 
 

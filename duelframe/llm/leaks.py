@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -86,7 +86,7 @@ class ItemIndex:
             tops = [max(score[i : i + POSTINGS_A_BLOCK]) for i in range(0, len(ns), POSTINGS_A_BLOCK)]
             self.postings[term] = (ns, score, ends, tops, max(tops))
             least = min(least, *score)
-        self.threshold = LEAST_TRIPLES * least if counts else math.inf
+        self.threshold = LEAST_TRIPLES * least * (1 - 1e-9) if counts else math.inf
 
     def triples(self, ids: np.ndarray) -> np.ndarray:
         """Codes of the word triples; -1 where a word is not in the vocabulary."""
@@ -96,8 +96,15 @@ class ItemIndex:
         return np.where((a < 0) | (b < 0) | (c < 0), -1, (a * self.base + b) * self.base + c)
 
     def search(self, terms: list[int]) -> list[int]:
-        """All items whose BM25 score for the query terms reaches the threshold (block-max WAND)."""
-        lists = [[0, 0, *self.postings[t]] for t in terms]  # place, block, then the postings
+        """All items whose BM25 score for the query terms reaches the threshold (block-max WAND).
+
+        A term counts as often as the query has it, so that every intact triple of a case adds
+        at least the least posting score, however few of them are distinct.
+        """
+        lists: list[list] = []  # place, block, then the postings
+        for t, times in Counter(terms).items():
+            ns, score, ends, tops, top = self.postings[t]
+            lists.append([0, 0, ns, score, ends, tops, top] if times == 1 else [0, 0, ns, [times * x for x in score], ends, [times * x for x in tops], times * top])
         found: list[int] = []
         while True:
             lists = [x for x in lists if x[0] < len(x[2])]
@@ -154,7 +161,7 @@ class ItemIndex:
             low = max(0, int(start)) * STRIDE
             a, b = np.searchsorted(hits, [low, low + PASSAGE - GRAM + 1])
             if b - a >= LEAST_TRIPLES:
-                met.update(self.search(list(dict.fromkeys(grams[hits[a:b]].tolist()))))
+                met.update(self.search(grams[hits[a:b]].tolist()))
         return [n for n in met if self._verified(n, ids, grams, hits)]
 
     def _verified(self, n: int, ids: np.ndarray, grams: np.ndarray, hits: np.ndarray) -> bool:

@@ -282,12 +282,7 @@ def consistent_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return documents.select(F.col(id_col), folded(text_col).alias("form"))
 
 
-#: groups of at most so many documents are written out as all their pairs; in larger ones every
-#: copy is paired with the first document of each other spelling.
-FULL_GROUP = 64
-
-
-def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", full_group: int = FULL_GROUP) -> DataFrame:
+def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", full_group: int | None = None) -> DataFrame:
     """(doc_a, doc_b): documents of different characters and one consistent form.
 
     Documents are grouped by a 128-bit digest of the form, so only digests are shuffled.
@@ -304,13 +299,16 @@ def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str
     )
     # the digests are read twice; MEMORY_AND_DISK blocks that are lost are computed again
     digests = digests.persist()
-    spellings = digests.groupBy("form", "text").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("n"))
-    forms = spellings.groupBy("form").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("size")).where("spellings > 1")
-    heads = spellings.join(forms, "form").select("form", "size", F.col("text").alias("other_text"), "head")
-    members = digests.join(forms.select("form", "size"), "form").select("form", "size", "text", "doc").distinct()
-    star = members.join(heads.drop("size"), "form").where("text <> other_text").select("doc", F.col("head").alias("other"))
-    small = members.where(F.col("size") <= full_group)
-    full = small.select("form", "text", "doc").join(
-        small.select("form", F.col("text").alias("other_text"), F.col("doc").alias("other")), "form"
-    ).where("text <> other_text").select("doc", "other")
-    return star.union(full).select(F.least("doc", "other").alias("doc_a"), F.greatest("doc", "other").alias("doc_b")).distinct()
+    spellings = digests.groupBy("form", "text").agg(F.min("doc").alias("head"))
+    forms = spellings.groupBy("form").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1").select("form")
+    members = digests.join(forms, "form").select("form", "text", "doc").distinct()
+    others = lambda rows, doc: rows.select("form", F.col("text").alias("other_text"), F.col(doc).alias("other"))
+    pairs = lambda rows, other: rows.join(other, "form").where("text <> other_text AND doc <> other").select("doc", "other")
+    if full_group is None:
+        # every pair is met from both of its ends; one is enough
+        both = pairs(members, others(members, "doc")).where("doc < other")
+    else:
+        sizes = members.groupBy("form").agg(F.count(F.lit(1)).alias("size"))
+        small = members.join(sizes.where(F.col("size") <= full_group).select("form"), "form")
+        both = pairs(members, others(spellings, "head")).union(pairs(small, others(small, "doc")))
+    return both.select(F.least("doc", "other").alias("doc_a"), F.greatest("doc", "other").alias("doc_b")).distinct()

@@ -209,7 +209,7 @@ SQL: dict[str, str] = {
     "lead_profile": "SELECT count(*) AS rows, count(*) FILTER (WHERE species IS NULL OR species = '') AS empty, count(*) FILTER (WHERE species LIKE '%*') AS masked, count(*) FILTER (WHERE species <> pokemon_name) AS nickname, count(*) FILTER (WHERE username IS NULL OR username = '') AS no_user FROM battle_leads",
     "name_probe": "SELECT species AS value, count(*) AS n_rows FROM battle_leads WHERE contains(lower(species), 'klo') GROUP BY 1",
     "sent_out_histogram": "SELECT sent, leads, count(*) AS sides FROM (SELECT battle_id, player_side, sum(coalesce(was_sent_out, 0))::BIGINT AS sent, sum(coalesce(is_lead, 0))::BIGINT AS leads FROM battle_team_slot GROUP BY 1, 2) GROUP BY 1, 2",
-    "id_collisions": "SELECT count(*) AS rows, count(DISTINCT battle_id) AS ids, count(DISTINCT md5(left(replay_path, 20))) AS head_digests FROM battle",
+    "id_collisions": "SELECT count(*) AS rows, count(DISTINCT battle_id) AS ids, count(DISTINCT md5(left(replay_path, 500))) AS head_digests FROM battle",
     "first_per_id": "SELECT battle_id, count(*) - 1 AS skipped_duplicate FROM battle GROUP BY 1 HAVING count(*) > 1",
     "rating_histogram": "SELECT (rating_before // 100 * 100)::INTEGER AS bucket, count(*) AS sides FROM battle_players WHERE rating_before IS NOT NULL GROUP BY 1",
 }

@@ -5,8 +5,11 @@ spelling. Every distinct text gets a 64-bit similarity fingerprint (weighted vot
 character grams). The index stores it once per rotation: `blocks` tables, table i keyed
 by block i of the fingerprint. Two fingerprints that differ in fewer than `blocks` bits agree
 in a whole block, so an exact look-up in the tables finds them; the Hamming distance and
-then the text decide. New fingerprints are appended; texts that are there stay as they are,
-so exact copies, however many, cost one entry, and history is never read again.
+then the texts decide: equal, or the same digits and all short words with a slip in a long word.
+
+The index is a folder that can be opened again. `accept` looks a batch up and appends the
+fingerprints of its new texts, each with the first record it stands for, so history is read
+once, when it is indexed, and never again.
 """
 
 from __future__ import annotations
@@ -26,6 +29,11 @@ BLOCKS = 3  # rotations; finds all fingerprints that differ in at most two bits
 GRAM = 4
 #: First folders of known places; what stands before them is a mount point.
 ROOTS = ("data", "replays", "recrawl")
+#: Near texts are one if they differ by at most SLIPS edits inside words of LONG letters or more.
+LONG, SLIPS = 5, 2
+#: Batches that wait together are looked up together up to so many arrivals.
+ROWS_AT_ONCE = 200_000
+ENTRY = "kind string, text string, owner long, name string, fp long, rotation int, block long"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,14 +64,17 @@ def fingerprints(texts: list[str | None], gram: int = GRAM, rows_at_once: int =
             part = padded[i : i + len(data)]
             code = code * np.uint64(257) + part
             digit |= (part >= 48) & (part <= 57)
-        # where a gram stands relative to the others of its kind, so that swapped digits matter
         nth = np.arange(len(data)) - np.repeat(begin, sizes)
-        bits = _mixed(code * _MIX + nth.astype(np.uint64))
         inside = nth < np.repeat(sizes, sizes) - gram  # grams of the padding would reach into the next text
-        weight = np.where(digit, 4, 1).astype(np.int32) * inside
-        votes = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
-        sums = np.add.reduceat((2 * votes - 1) * weight[:, None], begin, axis=0)
-        out[low : low + len(raws)] = np.packbits((sums > 0).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
+        # grams with digits also tell the how manieth of them they are, so that swapped digits matter and a slip in a word does not
+        ordinal = np.cumsum(digit)
+        ordinal = np.where(digit, ordinal - np.repeat(ordinal[begin] - digit[begin], sizes), 0)
+        bits = np.unpackbits(_mixed(code * _MIX + ordinal.astype(np.uint64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        weight = (np.where(digit, 4, 1) * inside).astype(np.uint8)
+        bits *= weight[:, None]
+        votes = np.add.reduceat(bits, begin, axis=0, dtype=np.uint32)
+        whole = np.add.reduceat(weight, begin, dtype=np.uint32)
+        out[low : low + len(raws)] = np.packbits(2 * votes > whole[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
@@ -84,13 +95,21 @@ def replay_id(col: Column) -> Column:
     return F.nullif(F.regexp_replace(plain, r"^(.*-[0-9]+)-[a-z0-9]+pw$", "$1"), F.lit(""))
 
 
+def _stepped(path: Column) -> Column:
+    """A path without steps back, however nested: each '..' takes the folder before it away, if there is one."""
+    parts = F.aggregate(
+        F.split(path, "/"), F.array().cast("array<string>"),
+        lambda done, part: F.when((part == "..") & (F.size(done) > 0) & (F.get(done, F.size(done) - 1) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part))),
+    )
+    return F.array_join(parts, "/")
+
+
 def replay_place(col: Column, roots: tuple[str, ...] = ROOTS) -> Column:
     """One spelling of a place: decoded, '/' between folders, no case, '.', '..', mount point, copy number or packing."""
     p = F.regexp_replace(trimmed(col), r"\+", "%2B")
     p = F.lower(F.translate(F.coalesce(F.try_url_decode(p), F.regexp_replace(p, "%2B", "+")), "\\", "/"))
     p = F.regexp_replace(F.regexp_replace(p, r"/{2,}", "/"), r"(?<=^|/)(\./)+", "")
-    for _ in range(3):  # nested steps back
-        p = F.regexp_replace(p, r"(?<=^|/)(?!\.\./)[^/]+/\.\./", "")
+    p = F.when(p.contains("/../"), _stepped(p)).otherwise(p)
     p = F.regexp_replace(p, rf"^.*?(?=(?<=^|/)({'|'.join(roots)})/)", "")
     p = F.regexp_replace(p, r"^/+", "")
     p = F.regexp_replace(p, r"\.(gz|zst|bz2|xz|zip)$", "")
@@ -112,10 +131,10 @@ def keyed(records: DataFrame, order: Column, *carry: str) -> DataFrame:
     return records.select(order.alias("ord"), *carry, F.explode(F.array_distinct(texts)).alias("k")).select("ord", *carry, "k.kind", "k.text").where("text IS NOT NULL")
 
 
-def entries(keys: DataFrame) -> DataFrame:
-    """(kind, text, owner, name, fp): one row per distinct text with its first record."""
+def first_texts(keys: DataFrame) -> DataFrame:
+    """(kind, text, owner, name): one row per distinct text with its first record."""
     first = keys.groupBy("kind", "text").agg(F.min(F.struct("ord", "battle_id")).alias("o"))
-    return first.select("kind", "text", F.col("o.ord").alias("owner"), F.col("o.battle_id").alias("name"), fingerprint("text").alias("fp"))
+    return first.select("kind", "text", F.col("o.ord").alias("owner"), F.col("o.battle_id").alias("name"))
 
 
 def block_tables(index: DataFrame, blocks: int = BLOCKS) -> DataFrame:
@@ -126,41 +145,81 @@ def block_tables(index: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     return index.select("*", F.explode(rotations).alias("r")).select("*", "r.rotation", "r.block").drop("r")
 
 
-def matches(queries: DataFrame, tables: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """(kind, text, owner, name) of index entries that stand for the same text as a query text.
+def same_text(a: str, b: str) -> Column:
+    """Whether two texts of near fingerprints stand for one record: equal, or at most SLIPS edits apart,
+    all of them inside words of LONG letters or more. Digits and short words tell records apart."""
+    skeleton = lambda c: F.regexp_replace(c, rf"[a-z]{{{LONG},}}", "~")
+    return (F.col(a) == F.col(b)) | ((skeleton(a) == skeleton(b)) & (F.levenshtein(F.col(a), F.col(b), SLIPS) >= 0))
+
+
+def matches(asked: DataFrame, tables: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """(ord, kind, asked, owner, name, equal): index entries that stand for the same record as a text that is asked for.
 
-    queries: distinct (kind, text, fp). Block matches, then Hamming distance, then text.
+    asked: (ord, kind, text, fp). Block matches, then Hamming distance, then text. An entry may be met in several rotations.
     """
-    asked = block_tables(queries.select("kind", F.col("text").alias("asked"), F.col("fp").alias("asked_fp"), F.col("fp")), blocks).drop("fp")
-    near = asked.join(tables, ["kind", "rotation", "block"]).where(F.bit_count(F.col("asked_fp").bitwiseXOR(F.col("fp"))) < blocks)
-    return near.where("asked = text").select("kind", "text", "owner", "name").distinct()
+    probe = block_tables(asked.select("ord", "kind", F.col("text").alias("asked"), F.col("fp").alias("asked_fp"), "fp"), blocks).drop("fp")
+    near = probe.join(tables, ["kind", "rotation", "block"]).where(F.bit_count(F.col("asked_fp").bitwiseXOR(F.col("fp"))) < blocks)
+    return near.where(same_text("asked", "text")).where("owner < ord").select("ord", "kind", "asked", "owner", "name", (F.col("asked") == F.col("text")).alias("equal"))
 
 
 class ReplayIndex:
-    """Block tables in a shared folder, extended batch by batch."""
+    """Block tables in a folder, extended batch by batch; the same folder can be opened again later.
+
+    Each append is a subfolder of its own, named by the caller, so an append that is repeated after
+    a crash replaces itself.
+    """
+
+    def __init__(self, spark, path: str, blocks: int = BLOCKS, scratch: Scratch | None = None):
+        self.spark, self.path, self.blocks = spark, path.rstrip("/"), blocks
+        self.scratch = scratch or Scratch(spark, "replay-index")
+
+    @property
+    def tables(self) -> DataFrame:
+        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/step=*")
 
-    def __init__(self, spark, label: str = "replay-index", blocks: int = BLOCKS):
-        self.scratch, self.blocks = Scratch(spark, label), blocks
-        self.tables: DataFrame | None = None
-        self.size = 0
+    def append(self, texts: DataFrame, step: str) -> None:
+        """Add (kind, text, owner, name, fp) entries; files are sorted by block, so that row groups can be passed over."""
+        rows = block_tables(texts, self.blocks).select("kind", "text", "owner", "name", "fp", "rotation", "block")
+        rows.sortWithinPartitions("rotation", "block").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/step={step}")
 
-    def append(self, keys: DataFrame) -> None:
-        """Add the texts of accepted records, in order; texts that are indexed keep their first record."""
-        made = self.scratch.save(block_tables(entries(keys), self.blocks))
-        self.tables = made if self.tables is None else self.tables.unionByName(made)
+    def load_history(self, battles: DataFrame) -> None:
+        """Index the accepted records, once."""
+        self.append(first_texts(history_keys(battles)).withColumn("fp", fingerprint("text")), "history")
 
-    def repeats(self, arrivals: DataFrame) -> DataFrame:
-        """(row_id, owner, name): arrivals known to the index, with the first record they repeat.
+    def accept(self, arrivals: DataFrame, step: str) -> DataFrame:
+        """(row_id, owner, name): the arrivals of one batch (or of some that wait together) that repeat a record.
 
-        Of several records, accepted battles (owner < 0) come before arrivals, and earlier ones
-        before later ones. Only the arrivals' texts are fingerprinted.
+        Of several records, accepted battles (owner < 0) come before arrivals, and earlier ones before later
+        ones. Only the batch is fingerprinted. Its new texts are appended with the first record that they
+        stand for, so that later batches meet that record at once; repeats of repeats inside the batch are followed by
+        pointer jumping, whose rounds grow with the logarithm of the longest chain.
         """
-        keys = keyed(arrivals, F.col("row_id"), "battle_id")
-        asked = keys.select("kind", "text").distinct().withColumn("fp", fingerprint("text"))
-        hits = matches(asked, self.tables, self.blocks)
-        best = keys.select("ord", "kind", "text").join(hits, ["kind", "text"]).where("owner < ord")
-        best = best.groupBy(F.col("ord").alias("row_id")).agg(F.min(F.struct("owner", "name")).alias("o"))
-        return best.select("row_id", "o.owner", "o.name")
+        save, drop = self.scratch.save, self.scratch.drop
+        keys = save(keyed(arrivals, F.col("row_id"), "battle_id").withColumn("fp", fingerprint("text")))
+        own = block_tables(keys.groupBy("kind", "text", "fp").agg(F.min(F.struct("ord", "battle_id")).alias("o")).select("kind", "text", F.col("o.ord").alias("owner"), F.col("o.battle_id").alias("name"), "fp"), self.blocks)
+        hits = save(matches(keys, self.tables.unionByName(own.select(*[f.split()[0] for f in ENTRY.split(", ")])), self.blocks).distinct())
+        links = hits.groupBy(F.col("ord").alias("row_id")).agg(F.min(F.struct("owner", "name")).alias("o")).select("row_id", "o.owner", "o.name")
+        links = self._followed(links)
+        known = hits.join(keys.select("ord").distinct().withColumnRenamed("ord", "owner"), "owner", "left_anti").where("equal").select("kind", F.col("asked").alias("text")).distinct()
+        fresh = keys.join(known, ["kind", "text"], "left_anti").join(links.select(F.col("row_id").alias("ord"), "owner", "name"), "ord", "left")
+        fresh = fresh.groupBy("kind", "text", "fp").agg(F.min(F.struct(F.coalesce("owner", "ord").alias("owner"), F.when(F.col("owner").isNull(), F.col("battle_id")).otherwise(F.col("name")).alias("name"))).alias("o"))
+        self.append(fresh.select("kind", "text", "o.owner", "o.name", "fp"), step)
+        for df in (keys, hits):
+            drop(df)
+        return links
+
+    def _followed(self, links: DataFrame) -> DataFrame:
+        """The links with the first record of each chain of repeats."""
+        links = self.scratch.save(links)
+        while True:
+            up = links.select(F.col("row_id").alias("owner"), F.col("owner").alias("next_owner"), F.col("name").alias("next_name"))
+            moved = F.col("next_owner").isNotNull()
+            step = links.join(up, "owner", "left").select("row_id", F.coalesce("next_owner", "owner").alias("owner"), F.when(moved, F.col("next_name")).otherwise(F.col("name")).alias("name"), moved.alias("moved"))
+            step = self.scratch.save(step)
+            self.scratch.drop(links)
+            if step.where("moved").limit(1).count() == 0:
+                return step.drop("moved")
+            links = step.drop("moved")
 
 
 def history_keys(battles: DataFrame) -> DataFrame:
@@ -169,26 +228,33 @@ def history_keys(battles: DataFrame) -> DataFrame:
     return keyed(battles, before, "battle_id")
 
 
-def found(battles: DataFrame, arrivals: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def found(battles: DataFrame, arrivals: DataFrame, blocks: int = BLOCKS, rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """(row_id, first_battle_id): arrivals that repeat an accepted battle or an earlier arrival.
 
-    All waiting batches are looked up at once: the index holds history and the arrivals, and
-    an arrival only matches what came before it. Then repeats of repeats are followed to the
-    first record by pointer jumping, whose rounds grow with the logarithm of the longest chain.
-    Rows without an id and a place repeat nothing; rows without a row_id are left out; repeated
-    rows count once; empty tables give no rows.
+    The accepted battles are indexed, then the batches are accepted in order. Batches that wait
+    together are looked up together, up to `rows_at_once` arrivals; how they are grouped changes no row. Rows
+    without an id and a place repeat nothing; rows without a row_id are left out, rows without a batch come
+    first; repeated rows count once; empty tables give no rows.
     """
     spark = arrivals.sparkSession
-    index = ReplayIndex(spark, "p4", blocks)
-    named = arrivals.where("row_id IS NOT NULL")
-    index.append(history_keys(battles).unionByName(keyed(named, F.col("row_id"), "battle_id")))
-    links = index.scratch.save(index.repeats(named))
-    while True:
-        up = links.select(F.col("row_id").alias("owner"), F.col("owner").alias("next_owner"), F.col("name").alias("next_name"))
-        step = links.join(up, "owner", "left").select(
-            "row_id", F.coalesce("next_owner", "owner").alias("owner"), F.when(F.col("next_owner").isNotNull(), F.col("next_name")).otherwise(F.col("name")).alias("name"), F.col("next_owner").isNotNull().alias("moved")
-        )
-        step = index.scratch.save(step)
-        if step.where("moved").limit(1).count() == 0:
-            return step.select("row_id", F.col("name").alias("first_battle_id"))
-        links = step.drop("moved")
+    scratch = Scratch(spark, "p4")
+    index = ReplayIndex(spark, f"{scratch.root}/index", blocks, scratch)
+    index.load_history(battles)
+    named = arrivals.where("row_id IS NOT NULL").withColumn("batch_no", F.coalesce("batch_no", F.lit(-1)))
+    # one number per batch
+    sizes = named.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n")).orderBy("batch_no").collect()
+    groups: list[tuple[int, int]] = []
+    held = 0
+    for r in sizes:
+        if groups and held + r.n <= rows_at_once:
+            groups[-1], held = (groups[-1][0], r.batch_no), held + r.n
+        else:
+            groups.append((r.batch_no, r.batch_no))
+            held = r.n
+    out = None
+    for low, high in groups:
+        got = index.accept(named.where(F.col("batch_no").between(low, high)), f"{low}-{high}")
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        return named.select("row_id", F.col("battle_id").alias("first_battle_id")).where(F.lit(False))
+    return out.select("row_id", F.col("name").alias("first_battle_id"))

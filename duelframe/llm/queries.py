@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import arrivals, cooccur, glyphs, leaks, mixing, naming, ranking
+from duelframe.llm import arrivals, cooccur, glyphs, leaks, mixing, naming, queries_sql, ranking
 from duelframe.session import table
 
 
@@ -88,19 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (p3_found, p3_ranking, p4_found, p4_arrivals, p5_found, p5_pairs, p6_found, p6_unmatched, p7_found, p7_items, p8_found, p8_mix, p8_shares, p9_found, p9_forms)
 }
-
-_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(8203) || chr(12288) || chr(65279)"
-_PAIRS = f"""
-WITH m AS (
-  SELECT DISTINCT nullif(lower(trim(battle_id, {_BLANKS})), '') AS b, nullif(lower(trim(player_side, {_BLANKS})), '') AS s, lower(trim(pokemon_name, {_BLANKS})) AS item
-  FROM battle_team_slot WHERE pokemon_name IS NOT NULL),
-k AS (SELECT * FROM m WHERE b IS NOT NULL AND s IS NOT NULL),
-t AS (SELECT count(*) AS n FROM (SELECT DISTINCT b, s FROM k)),
-i AS (SELECT item, count(*) AS n FROM k GROUP BY item),
-p AS (SELECT x.item AS name_a, y.item AS name_b, count(*) AS n_ab FROM k x JOIN k y ON x.b = y.b AND x.s = y.s AND x.item < y.item GROUP BY ALL),
-r AS (SELECT name_a, name_b, n_ab, a.n AS n_a, c.n AS n_b, t.n FROM p JOIN i a ON a.item = name_a JOIN i c ON c.item = name_b CROSS JOIN t)
-"""
-SQL: dict[str, str] = {
-    "p5_found": _PAIRS + "SELECT name_a, name_b FROM r WHERE n_ab >= 10 AND n_ab::HUGEINT * n >= 3 * n_a::HUGEINT * n_b",
-    "p5_pairs": _PAIRS + "SELECT name_a, name_b, n_ab, n_a, n_b, n, round(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b), 6) AS lift FROM r",
-}
+SQL: dict[str, str] = queries_sql.SQL

@@ -1,15 +1,18 @@
 """Arrival dedup, mixing and naming on small fixtures and against brute force."""
 
 import datetime as dt
+import shutil
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from duelframe.llm import arrivals, mixing, naming
 
 T = dt.datetime(2024, 1, 1)
 BATTLE = "battle_id string, replay_path string, loaded_at timestamp_ntz, row_id int"
-ARRIVAL = "row_id long, battle_id string, replay_path string, owner string"
+ARRIVAL = "row_id long, battle_id string, replay_path string, owner string, batch_no int"
 
 
 def test_arrivals(spark):
@@ -18,18 +21,32 @@ def test_arrivals(spark):
         (1, "G-100 ", None, ""), (2, None, "/mnt/s/data//v/./X%20Y_part0.parquet#row1", ""), (3, "g-1000", "data/v/X Y_part0.parquet#row10", ""), (4, "battle-g_200", None, ""), (5, "g-300", "recrawl/a.parquet#row1", ""),
         (6, "", "RECRAWL\\A.parquet#ROW1", ""), (7, "g-300-abc123defpw", "recrawl/b.parquet#row9", ""), (8, None, "recrawl/b.parquet#row9", ""), (9, None, None, ""), (10, None, "", ""), (11, "zz", "replays/tmp/../2024/01/g-200 (1).log.gz", ""), (None, "g-100", None, ""), (8, None, "recrawl/b.parquet#row9", ""),
     ]
-    got = {r.row_id: r.first_battle_id for r in arrivals.found(battles, spark.createDataFrame(rows, ARRIVAL)).collect()}
-    assert got == {1: "g-100", 2: "g-100", 4: "abcdef", 6: "g-300", 7: "g-300", 8: "g-300", 11: "abcdef"}
+    rows = spark.createDataFrame([(*r, None if r[0] == 1 else (r[0] or 0) // 3) for r in rows], ARRIVAL)
+    for at_once in (1, 4, 1000):  # how batches are grouped changes nothing
+        got = {r.row_id: r.first_battle_id for r in arrivals.found(battles, rows, rows_at_once=at_once).collect()}
+        assert got == {1: "g-100", 2: "g-100", 4: "abcdef", 6: "g-300", 7: "g-300", 8: "g-300", 11: "abcdef"}
     assert arrivals.found(battles.limit(0), spark.createDataFrame([], ARRIVAL)).count() == 0
 
 
-def test_index_grows_by_batches(spark):
-    index = arrivals.ReplayIndex(spark)
-    index.append(arrivals.history_keys(spark.createDataFrame([("g-1", "data/a#row1", T, 1)], BATTLE)))
-    first = spark.createDataFrame([(1, "g-1", None, ""), (2, "g-2", "data/a#row2", "")], ARRIVAL)
-    assert [r.row_id for r in index.repeats(first).collect()] == [1]
-    index.append(arrivals.keyed(first.where("row_id = 2"), first.row_id, "battle_id"))
-    assert [(r.row_id, r.name) for r in index.repeats(spark.createDataFrame([(3, None, "data/a#row2", "")], ARRIVAL)).collect()] == [(3, "g-2")]
+def test_index_is_opened_again_and_history_is_read_once(spark, tmp_path):
+    held, folder = str(tmp_path / "battle"), str(tmp_path / "index")
+    spark.createDataFrame([("doublesplayground-2000000017", "data/a#row1", T, 1), ("g-1", "data/b#row1", T, 1)], BATTLE).write.parquet(held)
+    arrivals.ReplayIndex(spark, folder).load_history(spark.read.parquet(held))
+    shutil.rmtree(held)  # from here on history cannot be read
+    one = spark.createDataFrame([(1, "g-1", None, "", 1), (2, "g-2", "data/a#row2", "", 1), (3, "", "data/a#row2", "", 1)], ARRIVAL)
+    for _ in range(2):  # a batch that is accepted again replaces itself
+        assert {(r.row_id, r.name) for r in arrivals.ReplayIndex(spark, folder).accept(one, "1").collect()} == {(1, "g-1"), (3, "g-2")}
+    two = spark.createDataFrame([(4, None, "data/a#row2", "", 2), (5, "doublesplaygruond-2000000017", None, "", 2), (6, "doublesplayground-2000000071", None, "", 2), (7, "h-1", "data/b#row1", "", 2)], ARRIVAL)
+    index = arrivals.ReplayIndex(spark, folder)
+    # row 5 is met by its near fingerprint only: no text of the index equals its text
+    assert {(r.row_id, r.name) for r in index.accept(two, "2").collect()} == {(4, "g-2"), (5, "doublesplayground-2000000017"), (7, "g-1")}
+    assert index.tables.where("text = 'g-2'").count() == arrivals.BLOCKS
+
+
+def test_steps_back(spark):
+    paths = [("a/b/../../data/x",), ("data/1/2/3/4/../../../../y",), ("../data/z",), ("data/..x/../w",)]
+    got = [r[0] for r in spark.createDataFrame(paths, "p string").select(arrivals.replay_place(F.col("p"))).collect()]
+    assert got == ["data/x", "data/y", "data/z", "data/w"]
 
 
 def test_fingerprints():

@@ -19,15 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from duelframe.session import Scratch
+
 #: Place of the vocabulary; a parameter of every function that counts tokens.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: GPT-2's public pattern for words, needed beside the ranks of that vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Documents of one source are spread over so many blocks for the prefix sum.
 BLOCKS = 4096
-#: Pieces longer than this are counted in parts: byte-pair merging takes time that grows
-#: faster than the length of one unbroken piece.
-LONGEST_PIECE = 20_000
 
 _encoders: dict[str, object] = {}
 
@@ -45,14 +44,15 @@ def _encoder(path: str):
 
 
 def token_count(text: Column | str, vocabulary: str = VOCABULARY) -> Column:
-    """Tokens of each whole text under a public tokenizer; null and empty texts have 0."""
+    """Tokens of each whole text under a public tokenizer; null and empty texts have 0.
+
+    The encoder merges unbroken pieces in nearly linear time, so long texts are not cut.
+    """
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = _encoder(vocabulary).encode_ordinary
         for texts in batches:
-            yield pd.Series(
-                [sum(len(encode(t[i : i + LONGEST_PIECE])) for i in range(0, len(t), LONGEST_PIECE)) if t else 0 for t in texts], dtype="int64"
-            )
+            yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 
     return F.pandas_udf(count, LongType())(F.col(text) if isinstance(text, str) else text)
 
@@ -111,19 +111,33 @@ def chosen(sizes: DataFrame, plan: DataFrame, seed: int = 17, blocks: int = BLOC
 
 
 def reached(mix: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per target source: wanted and actual share of the mix, its tokens, documents and whether it is short."""
+    """Per target source: wanted and actual share of the mix, its tokens and documents, and whether it is used up.
+
+    A source is used up if every document of it is in the mix max_repeats times, also if it has none.
+    """
     got = mix.groupBy("source").agg(
-        F.sum(F.col("tokens") * F.col("repeats")).alias("mix_tokens"), F.count(F.lit(1)).alias("mix_docs"), F.max("repeats").alias("most_repeats")
+        F.sum(F.col("tokens") * F.col("repeats")).alias("mix_tokens"), F.count(F.lit(1)).alias("mix_docs"),
+        F.max("repeats").alias("most_repeats"), F.min("repeats").alias("least_repeats"),
     )
     total = got.agg(F.sum("mix_tokens").alias("total"))
+    all_full = (F.col("mix_docs") == F.col("source_docs")) & (F.col("least_repeats") == F.col("max_repeats"))
     return (
-        plan.select("source", "target_share", "max_repeats", "short").join(got, "source", "left").fillna(0, ["mix_tokens", "mix_docs", "most_repeats"])
+        plan.select("source", "target_share", "max_repeats", "short", "wanted_tokens", "source_docs").join(got, "source", "left")
+        .fillna(0, ["mix_tokens", "mix_docs", "most_repeats", "least_repeats"])
         .join(F.broadcast(total), how="inner")  # one row
         .withColumn("actual_share", F.coalesce(F.try_divide("mix_tokens", "total"), F.lit(0.0)))
-        .drop("total")
+        .withColumn("used_up", F.coalesce(all_full | (F.col("source_docs") == 0) | (F.col("max_repeats") == 0), F.lit(False)))
+        .drop("total", "source_docs", "least_repeats")
     )
 
 
+def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    """(mix, plan) of the whole documents; their sizes are counted once and written to the shared folder."""
+    sizes = Scratch(documents.sparkSession, "p8").save(sized(documents, vocabulary))
+    plan = source_plan(sizes, targets)
+    return chosen(sizes, plan), plan
+
+
 def short_sources(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(source): sources that cannot reach their share even with max_repeats uses of each document."""
-    return source_plan(sized(documents, vocabulary), targets).where("short").select("source")
+    """(source): sources that the drawn mix uses up without reaching their share of the tokens."""
+    return reached(*mixed(documents, targets, vocabulary)).where("used_up AND mix_tokens < wanted_tokens").select("source")

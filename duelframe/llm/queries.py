@@ -62,18 +62,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.short_sources(table(spark, d, "documents"), table(spark, d, "mix_target"))
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    sizes = mixing.sized(table(spark, d, "documents")).persist()
-    plan = mixing.source_plan(sizes, table(spark, d, "mix_target"))
-    return mixing.chosen(sizes, plan), plan
-
-
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[0]
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.reached(*_mix(spark, d))
+    return mixing.reached(*mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_target")))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

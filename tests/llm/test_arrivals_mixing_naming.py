@@ -76,10 +76,29 @@ def test_mixing(spark):
     assert mixing.chosen(df.limit(0), empty).count() == 0 and not any(r.actual_share for r in mixing.reached(mixing.chosen(df.limit(0), empty), empty).collect())
 
 
+def test_short_sources_come_from_the_mix(spark):
+    rows = [(i, "a" if i % 10 else "b", "one two three", "x") for i in range(400)] + [(1000, "c", None, "x"), (1001, "d", "word " * 50, "x"), (1, "a", "one two three", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, target_share string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.05, 3), ("none", 0.05, 3), ("d", 0.1, 0), (None, 0.0, 1)], "source string, target_share double, max_repeats int")
+    assert {r.source for r in mixing.short_sources(docs, targets).collect()} == {"b", "c", "none", "d"}
+    mix, plan = mixing.mixed(docs, targets)
+    out = {r.source: r for r in mixing.reached(mix, plan).collect()}
+    assert out["b"].used_up and not out["a"].used_up and out["b"].mix_docs == 40 and out["b"].most_repeats == 2
+    # rows of the result come through the draw: without one document of b in the mix, b is not used up
+    assert not {r.source: r for r in mixing.reached(mix.where("doc_id <> 10"), plan).collect()}["b"].used_up
+    assert mixing.short_sources(docs.limit(0), targets.limit(0)).count() == 0
+
+
 def test_tokens(spark):
     docs = spark.createDataFrame([(1, "s", "hello world, hello"), (1, "s", "hello world, hello"), (2, "s", None), (3, "s", ""), (4, None, "x"), (None, "s", "x"), (5, "s", "a" * 300_000)], "doc_id long, source string, text string")
     got = {r.doc_id: r.tokens for r in mixing.sized(docs).collect()}
-    assert got[1] == 4 and got[2] == 0 and got[3] == 0 and got[5] > 1000 and set(got) == {1, 2, 3, 5}
+    assert got[1] == 4 and got[2] == 0 and got[3] == 0 and set(got) == {1, 2, 3, 5}
+    # a long unbroken text is merged as a whole: pairs across any cut count as well
+    import tiktoken
+
+    ranks = mixing._encoder(mixing.VOCABULARY)._mergeable_ranks
+    whole = tiktoken.Encoding("plain", pat_str=mixing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert got[5] == len(whole.encode_ordinary("a" * 300_000))
 
 
 def test_naming(spark):

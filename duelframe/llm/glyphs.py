@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 from pyspark.sql.types import StringType
 
+from duelframe.functions.joins import look_up
+from duelframe.session import Scratch
+
 # Letters of other scripts that are drawn like a Latin letter.
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
@@ -45,6 +48,8 @@ HYPHENS = "\u2010\u2011\u2043\u02d7\u2212\ufe63\uff0d"
 APOSTROPHES = "\u2019\u02bc\ua78c"
 
 SPACE, LF = 32, 10
+#: Documents of one form that one task pairs with the others.
+FORM_PART = 2_000
 #: Bytes of text that are rewritten at once.
 PART_BYTES = 1 << 19
 _CUT = re.compile(rb"[A-Za-z0-9](?=[A-Za-z0-9])")
@@ -282,33 +287,44 @@ def consistent_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return documents.select(F.col(id_col), folded(text_col).alias("form"))
 
 
-def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", full_group: int | None = None) -> DataFrame:
-    """(doc_a, doc_b): documents of different characters and one consistent form.
+def _members(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(form, text, doc) of the documents whose form has several spellings, and (form, docs, spellings) of these forms.
 
-    Documents are grouped by a 128-bit digest of the form, so only digests are shuffled.
-    First one row per (form, text) is made, with map-side aggregation, so that a group of
-    exact copies costs one row; forms of one spelling end there. For a form with several
-    spellings every document is joined with the first document of each other spelling, and in
-    groups of up to `full_group` documents with all of them. Blank and null texts, equal
-    texts and a document with itself give no row; a repeated row counts once.
+    Forms and texts are 128-bit digests, so no text is shuffled; they are written once. Blank and null texts
+    are left out; repeated rows count once.
     """
-    digests = (
+    scratch = Scratch(documents.sparkSession, "p9")
+    digests = scratch.save(
         documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), folded(text_col).alias("form"))
-        .where("doc IS NOT NULL AND form <> ''")
-        .select("doc", F.md5("form").alias("form"), F.md5("text").alias("text"))
+        .where("doc IS NOT NULL AND form <> ''").select("doc", F.md5("form").alias("form"), F.md5("text").alias("text"))
     )
-    # the digests are read twice; MEMORY_AND_DISK blocks that are lost are computed again
-    digests = digests.persist()
-    spellings = digests.groupBy("form", "text").agg(F.min("doc").alias("head"))
-    forms = spellings.groupBy("form").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1").select("form")
-    members = digests.join(forms, "form").select("form", "text", "doc").distinct()
-    others = lambda rows, doc: rows.select("form", F.col("text").alias("other_text"), F.col(doc).alias("other"))
-    pairs = lambda rows, other: rows.join(other, "form").where("text <> other_text AND doc <> other").select("doc", "other")
-    if full_group is None:
-        # every pair is met from both of its ends; one is enough
-        both = pairs(members, others(members, "doc")).where("doc < other")
-    else:
-        sizes = members.groupBy("form").agg(F.count(F.lit(1)).alias("size"))
-        small = members.join(sizes.where(F.col("size") <= full_group).select("form"), "form")
-        both = pairs(members, others(spellings, "head")).union(pairs(small, others(small, "doc")))
-    return both.select(F.least("doc", "other").alias("doc_a"), F.greatest("doc", "other").alias("doc_b")).distinct()
+    several = digests.select("form", "text").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1")
+    members = scratch.save(look_up(digests, scratch.save(several.select("form")), "form", "inner", "doc").select("form", "text", "doc").distinct())
+    sizes = members.groupBy("form", "text").agg(F.count(F.lit(1)).alias("n")).groupBy("form").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("spellings"))
+    return members, scratch.save(sizes)
+
+
+def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = FORM_PART) -> DataFrame:
+    """(doc_a, doc_b): all pairs of documents of different characters and one consistent form.
+
+    Only forms of several spellings are joined. One side of a large form is dealt over parts of some `part`
+    documents and meets the other side in each, so that no task makes all pairs of a form.
+    Blank and null texts, equal texts and a document with itself give no row; a repeated row counts once.
+    """
+    members, sizes = _members(documents, id_col, text_col)
+    parts = F.ceil(F.col("docs") / F.lit(part)).cast("int")
+    sized = look_up(members, sizes, "form", "inner", "doc").withColumn("parts", parts)
+    one = sized.select("form", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), F.col("text").alias("text_a"), F.col("doc").alias("doc_a"))
+    two = sized.select("form", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("text_b"), F.col("doc").alias("doc_b"))
+    return one.join(two, ["form", "part"]).where("doc_a < doc_b AND text_a <> text_b").select("doc_a", "doc_b").distinct()
+
+
+def look_alike_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, class_id, docs, spellings, links): the class of every document that looks like a different text.
+
+    links is the number of pairs that the document has; the pairs are those of a class with different texts.
+    """
+    members, sizes = _members(documents, id_col, text_col)
+    same = members.groupBy("form", "text").agg(F.count(F.lit(1)).alias("same"))
+    rows = look_up(look_up(members, sizes, "form", "inner", "doc"), same, ["form", "text"], "inner", "doc")
+    return rows.select("doc", F.col("form").alias("class_id"), "docs", "spellings", (F.col("docs") - F.col("same")).alias("links"))

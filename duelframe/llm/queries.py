@@ -36,7 +36,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All pairs with their counts and scores."""
-    pairs = cooccur.scored(cooccur.pair_counts(cooccur.roster_items(table(spark, d, "battle_team_slot")), ["b0", "b1"]))
+    pairs = cooccur.scored(cooccur.pair_counts(cooccur.roster_items(table(spark, d, "battle_team_slot"))))
     return pairs.select("name_a", "name_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
 
 
@@ -74,12 +74,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.look_alike_pairs(table(spark, d, "documents"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return glyphs.look_alike_classes(table(spark, d, "documents"))
+
+
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.consistent_texts(table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p3_found, p3_ranking, p4_found, p4_arrivals, p5_found, p5_pairs, p6_found, p6_unmatched, p7_found, p7_items, p8_found, p8_mix, p8_shares, p9_found, p9_forms)
+    for f in (p3_found, p3_ranking, p4_found, p4_arrivals, p5_found, p5_pairs, p6_found, p6_unmatched, p7_found, p7_items, p8_found, p8_mix, p8_shares, p9_found, p9_classes, p9_forms)
 }
 SQL: dict[str, str] = queries_sql.SQL

@@ -2,9 +2,10 @@
 
 Distinct values only. A value is brought to one spelling and read as tokens; every distinct
 token is joined with the tokens of the reference names by edit distance (through shared
-deletion variants, so no cross join), and the repaired tokens rank complete
-reference names by soft TF-IDF. A name is accepted if all its tokens and all tokens of the
-value meet within `MOST_EDITS` edits in all (one less for names under six letters); a tie between different entries is not guessed.
+deletion variants or, for long tokens, shared parts, so no cross join), and the repaired tokens rank complete
+reference names by soft TF-IDF. A name can be meant if all its tokens and all tokens of the
+value meet within `MOST_EDITS` edits in all (one less for names under six letters); of these the one of the
+highest score is; a tie between different entries is not guessed.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from duelframe.llm.glyphs import bare
 from duelframe.session import Scratch
 
 MOST_EDITS = 2
+#: Longer tokens are compared by parts; shorter ones by deletion variants, which grow with the square of the length.
+LONG_TOKEN = 24
 
 
 def tokens(text: Column) -> Column:
@@ -39,34 +42,49 @@ def readings(values: DataFrame) -> DataFrame:
     return rows.select("entered", "reading", tokens(F.col("text")).alias("tokens")).where("size(tokens) > 0")
 
 
-def allowed_edits(token: Column) -> Column:
-    size = F.length(token)
-    return F.when(size <= 2, 0).when(size <= 3, 1).otherwise(MOST_EDITS)
-
-
 def _deletions(token: str) -> Column:
-    """The token and all it becomes when as many characters as edits are allowed are taken out."""
+    """The token and all it becomes when one or two characters are taken out; never ''."""
     once = f"transform(sequence(1, length({token})), i -> concat(substr({token}, 1, i - 1), substr({token}, i + 1)))"
-    twice = f"flatten(transform({once}, d -> transform(sequence(1, length(d)), i -> concat(substr(d, 1, i - 1), substr(d, i + 1)))))"
-    return F.expr(f"CASE WHEN length({token}) <= 2 THEN array({token}) WHEN length({token}) <= 3 THEN array_union(array({token}), {once}) ELSE array_distinct(concat(array({token}), {once}, {twice})) END")
+    twice = f"flatten(transform({once}, d -> IF(length(d) = 0, array(''), transform(sequence(1, length(d)), i -> concat(substr(d, 1, i - 1), substr(d, i + 1))))))"
+    return F.array_remove(F.expr(f"array_distinct(concat(array({token}), {once}, {twice}))"), "")
+
+
+def _parts(word: str) -> Column:
+    """The three parts of a word with their place: two edits leave one part whole."""
+    return F.expr(f"transform(sequence(0, 2), i -> struct(length({word}) AS size, i AS part, substr({word}, (i * length({word})) div 3 + 1, ((i + 1) * length({word})) div 3 - (i * length({word})) div 3) AS text))")
+
+
+def _probes(token: str) -> Column:
+    """The parts that words within two edits of a token can have, where they can stand."""
+    part = f"substr({token}, (i * n) div 3 + 1 + d, ((i + 1) * n) div 3 - (i * n) div 3)"
+    each = f"transform(filter(sequence(-2, 2), d -> (i * n) div 3 + d >= 0), d -> struct(n AS size, i AS part, {part} AS text))"
+    return F.expr(f"array_distinct(flatten(transform(sequence(length({token}) - 2, length({token}) + 2), n -> flatten(transform(sequence(0, 2), i -> {each})))))")
 
 
-def repaired(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(token, word, edits): vocabulary words within the edits that the shorter of both allows.
+def repaired(typed: DataFrame, vocabulary: DataFrame, long: int = LONG_TOKEN) -> DataFrame:
+    """(token, word, edits): vocabulary words within two edits of a token, one edit if one of both is a single character.
 
-    Tokens longer than 64 characters only meet equal words.
+    Tokens of up to `long` characters meet through shared deletion variants, longer ones through shared
+    parts; both find all words within two edits. Numbers meet equal numbers only.
     """
-    spread = lambda df, name: df.select(name, F.explode(F.when(F.length(name) <= 64, _deletions(name)).otherwise(F.array(name))).alias("part"))
-    met = spread(typed.select("token").distinct(), "token").join(spread(vocabulary.select("word").distinct(), "word"), "part")
-    met = met.select("token", "word").distinct().withColumn("edits", F.levenshtein("token", "word"))
-    return met.where(F.col("edits") <= F.least(allowed_edits(F.col("token")), allowed_edits(F.col("word"))))
+    tokens_, words = typed.select("token").distinct(), vocabulary.select("word").distinct()
+    spread = lambda df, name: df.where(F.length(name) <= long).select(name, F.explode(_deletions(name)).alias("part"))
+    met = spread(tokens_, "token").join(spread(words, "word"), "part").select("token", "word")
+    held = words.where(F.length("word") >= long - 1).select("word", F.explode(_parts("word")).alias("part"))
+    asked = tokens_.where(F.length("token") >= long - 1).select("token", F.explode(_probes("token")).alias("part"))
+    met = met.unionByName(asked.join(held, "part").select("token", "word"))
+    met = met.distinct().withColumn("edits", F.levenshtein("token", "word"))
+    kind = lambda c: F.col(c).rlike("^[0-9]+$")
+    short = F.least(F.length("token"), F.length("word"))
+    allowed = F.when((F.col("token") == F.col("word")), 0).when(kind("token") | kind("word"), -1).when(short <= 1, 0).otherwise(MOST_EDITS)
+    return met.where(F.col("edits") <= allowed)
 
 
 def ranked(asked: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
     """(entered, means): the accepted target of each value; values without one are absent.
 
     asked: readings. targets: (tokens, means, rank), where means may be '' for a known name
-    that has no entry; at equal edits a lower rank wins. Steps that are read more than once are
+    that has no entry; at equal scores a lower rank wins. Steps that are read more than once are
     written to the scratch folder, which keeps the plans small.
     """
     targets = scratch.save(targets.groupBy("tokens", "rank").agg(F.min("means").alias("means")).withColumn("target", F.xxhash64("tokens", "rank")))
@@ -82,9 +100,10 @@ def ranked(asked: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
     whole = best.groupBy("entered", "reading", "typed", "target", "words").agg(
         F.sum("m.edits").alias("edits"), F.sum(F.length("m.word")).alias("letters"), F.count(F.lit(1)).alias("met"), F.countDistinct("m.word").alias("used"),
         F.sum(close * F.col("m.idf") * F.col("m.idf") / (F.col("norm") * F.col("norm"))).alias("score"),
-    ).where("met = typed AND used = words AND met = used").where((F.col("edits") <= MOST_EDITS) & ((F.col("edits") < MOST_EDITS) | (F.col("letters") >= 6)))
+    ).where("met = typed AND used = words AND met = used").where((F.col("edits") <= MOST_EDITS) & ((F.col("edits") == 0) | (F.col("letters") >= 3 * F.col("edits"))))
     told = whole.join(targets.select("target", "means", "rank"), "target")
-    order = Window.partitionBy("entered").orderBy("edits", "reading", F.desc("score"), "rank")
+    # a value that is a name as a whole is that name; else its parts are ranked together
+    order = Window.partitionBy("entered").orderBy(F.col("reading") > 0, F.desc(F.round("score", 9)), "reading", "rank")
     first = told.withColumn("place", F.rank().over(order)).where("place = 1")
     return scratch.save(first.groupBy("entered").agg(F.when(F.min("means") == F.max("means"), F.min("means")).otherwise(F.lit("")).alias("means")))
 

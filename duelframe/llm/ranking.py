@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from duelframe.functions.text import key
@@ -25,9 +25,15 @@ BROADCAST_ITEMS = 2_000_000
 PENALTY = 0.5
 #: Prior of the draw parameter: without any draw its estimate runs to minus infinity.
 DRAW_MEAN, DRAW_PENALTY = -4.0, 0.5
-NEWTON_STEPS, INNER_STEPS = 12, 12
-#: The inner system is solved to this share of its right side; Newton ends at steps below MOVE.
-INNER_SHARE, MOVE = 0.1, 0.02
+#: Newton that does not end within so many steps is an error; an inner solution is cut after INNER_STEPS,
+#: which costs further Newton steps but changes no result.
+NEWTON_STEPS, INNER_STEPS = 60, 12
+#: The inner system is solved to this share of its right side; Newton ends when no strength moves by MOVE.
+INNER_SHARE, MOVE = 0.1, 0.005
+
+
+class NotConverged(RuntimeError):
+    """The fit did not reach its end within the allowed steps."""
 
 
 def decided_battles(players: DataFrame) -> DataFrame:
@@ -87,6 +93,12 @@ class PairedComparison:
         self.small = self.size <= broadcast_items
         self.order, self.draw = 0.0, DRAW_MEAN
 
+    def _observed(self, df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
+        """The written table and sums over it, which are taken while it is written."""
+        seen = Observation()
+        made = self.scratch.save(df.observe(seen, *[c.alias(n) for n, c in sums.items()]))
+        return made, seen.get
+
     def _with(self, vectors: DataFrame, *names: str) -> DataFrame:
         """The pair rows with the named vectors of both ends (name_i, name_j)."""
         side = lambda v: vectors.select(F.col("id").alias(v), *[F.col(n).alias(f"{n}_{v}") for n in names])
@@ -141,25 +153,32 @@ class PairedComparison:
         self.draw += max(-1.0, min(1.0, (gd * ho - go * hod) / det))
 
     def fit(self, newton_steps: int = NEWTON_STEPS, inner_steps: int = INNER_STEPS) -> DataFrame:
-        """(item, games, strength, spread): spread is the approximate standard error of the strength."""
+        """(item, games, strength, spread): spread is the approximate standard error of the strength.
+
+        Raises NotConverged instead of giving a fit that has not come to its end.
+        """
         save, drop = self.scratch.save, self.scratch.drop
         state = save(self.items.select("id", F.lit(0.0).alias("theta")))
-        for _ in range(newton_steps):
-            slope = save(self._slope(state))
+        moved = math.inf if self.size else 0.0
+        while moved >= MOVE:
+            if newton_steps == 0:
+                raise NotConverged(f"strengths still move by {moved:.3g}")
+            newton_steps -= 1
+            slope, seen = self._observed(self._slope(state), gg=F.sum(F.col("g") * F.col("g") / F.col("h")))
             drop(state)
             # conjugate gradients: x the step, r the rest, p the direction; z = r / h
             z = F.col("r") / F.col("h")
             cg = slope.select("id", "theta", "h", F.lit(0.0).alias("x"), F.col("g").alias("r"), (F.col("g") / F.col("h")).alias("p"))
-            rz = goal = float(slope.agg(F.sum(F.col("g") * F.col("g") / F.col("h"))).first()[0] or 0.0)
+            rz = goal = float(seen["gg"] or 0.0)
             if rz == 0.0:
                 state = slope
                 break
             held: DataFrame | None = None
             for _ in range(inner_steps):
-                both = save(cg.join(self._product(cg), "id").withColumn("ap", F.col("ap") + self.penalty * F.col("p")))
-                s = both.agg(F.sum(F.col("p") * F.col("ap")), F.sum(F.col("r") * F.col("ap") / F.col("h")), F.sum(F.col("ap") * F.col("ap") / F.col("h"))).first()
-                alpha = rz / s[0]
-                rz_new = max(0.0, rz - 2 * alpha * s[1] + alpha * alpha * s[2])
+                both = cg.join(self._product(cg), "id").withColumn("ap", F.col("ap") + self.penalty * F.col("p"))
+                both, s = self._observed(both, pap=F.sum(F.col("p") * F.col("ap")), rap=F.sum(F.col("r") * F.col("ap") / F.col("h")), apap=F.sum(F.col("ap") * F.col("ap") / F.col("h")))
+                alpha = rz / s["pap"]
+                rz_new = max(0.0, rz - 2 * alpha * s["rap"] + alpha * alpha * s["apap"])
                 beta, rz = rz_new / rz, rz_new
                 moved = both.select("id", "theta", "h", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
                 cg = moved.select("id", "theta", "h", "x", "r", (z + beta * F.col("p")).alias("p"))
@@ -168,12 +187,12 @@ class PairedComparison:
                 if rz <= goal * INNER_SHARE * INNER_SHARE:
                     break
             # a step is at most 2 long in each strength, so that early steps do not overshoot
-            state = save(cg.select("id", (F.col("theta") + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("x")))).alias("theta"), F.abs("x").alias("step")))
+            state = cg.select("id", (F.col("theta") + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("x")))).alias("theta"), F.abs("x").alias("step"))
+            state, seen = self._observed(state, step=F.max("step"))
             drop(held)
             drop(slope)
             self._globals(state)
-            if float(state.agg(F.max("step")).first()[0] or 0.0) < MOVE:
-                break
+            moved = float(seen["step"] or 0.0)
         last = self._slope(state)
         return self.items.join(last.select("id", "theta", "h"), "id").select("item", "games", F.col("theta").alias("strength"), (1 / F.sqrt("h")).alias("spread"))
 

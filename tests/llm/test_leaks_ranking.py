@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 
+import pytest
+
 from duelframe.llm import leaks, ranking
 
 
@@ -115,3 +117,14 @@ def test_decided(spark):
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "battle_id string, side string, username string, result string, win double")
     assert {tuple(r) for r in ranking.decided_battles(df).collect()} == {("ann", "bo", 1.0), ("r", "q", 0.0)}
     assert ranking.strongest(df, least_games=1).count() == 4 and ranking.strongest(df.limit(0)).count() == 0
+
+
+def test_a_fit_that_does_not_end_is_an_error(spark):
+    games = [("a", "b", 1.0)] * 30 + [("b", "c", 1.0)] * 30 + [("c", "a", 0.0)] * 9
+    pairs = ranking.pair_table(spark.createDataFrame(games, "first string, second string, win double"))
+    with pytest.raises(ranking.NotConverged):
+        ranking.PairedComparison(pairs).fit(newton_steps=1)
+    # how far each inner system is solved does not change the end
+    far, near = ({r.item: r.strength for r in ranking.PairedComparison(pairs).fit(inner_steps=n).collect()} for n in (1, 12))
+    assert far == pytest.approx(near, abs=0.02)
+    assert ranking.PairedComparison(pairs.limit(0)).fit().count() == 0

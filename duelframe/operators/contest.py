@@ -1,7 +1,7 @@
 """Contest scope and aggregate tables: usage, partners, match-ups, events, trend, dimensions.
 
-All operators take and return DataFrames. Facts are joined with the scope and the name map
-by plain equi-joins; Catalyst broadcasts a side it knows to be small. The counts are summed
+All operators take and return DataFrames. Facts are joined with the scope by contest and with the
+name map by `look_up`, which holds for hot names. The counts are summed
 with map-side aggregation and rolled up to the 'all' band by grouping sets before enrichment.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.functions import contest as X
+from duelframe.functions.joins import look_up
 
 TAIL_SHARE = 0.05
 COUNTS = ("appearances", "wins", "sent_out", "sent_out_wins", "leads")
@@ -61,15 +62,17 @@ def slot_facts(slots: DataFrame, contests: DataFrame, names: DataFrame) -> DataF
     """In-scope roster rows with side values, species, form and basis (J2, J3, P4, P5); species_id null if unmapped.
 
     names: one row per showdown_name. Listed rows are known by their name, observed ones by what was
-    seen; a form that the map does not know is no form. Any side but p1 is the other side.
+    seen; a form that the map does not know is no form. Any side but p1 is the other side. The map is counted: it is
+    broadcast up to a bound, else its keys are salted, since one name may hold a third of all rows (give a written map).
     """
     side = F.when(F.col("player_side") == "p1", "p1").otherwise("p2")
     facts = slots.select("battle_id", "player_side", "pokemon_name", "species_observed", "form_status", "was_sent_out", "is_lead", side.alias("side"))
     facts = facts.join(sides(contests), ["battle_id", "side"])
-    form_name = F.when(F.col("form_status") == "listed", F.col("pokemon_name")).when(F.col("form_status") == "observed", F.col("species_observed")).otherwise("")
+    form_name = F.when(F.col("form_status") == "listed", F.col("pokemon_name")).when(F.col("form_status") == "observed", F.col("species_observed"))
     facts = facts.withColumn("form_name", form_name)
-    facts = facts.join(names.select(F.col("showdown_name").alias("pokemon_name"), "species_id"), "pokemon_name", "left")
-    facts = facts.join(names.select(F.col("showdown_name").alias("form_name"), "poke_id"), "form_name", "left")
+    facts = look_up(facts, names.select(F.col("showdown_name").alias("pokemon_name"), "species_id"), "pokemon_name", "left", "battle_id")
+    # rows without a form meet nothing: their null key is spread with the salts
+    facts = look_up(facts, names.select(F.col("showdown_name").alias("form_name"), "poke_id"), "form_name", "left", "battle_id")
     basis = F.when(F.col("poke_id").isNotNull(), F.col("form_status")).when(F.col("form_status").isin("unobserved", "ambiguous"), "unobserved").otherwise("species_only")
     sent = F.coalesce(F.col("was_sent_out").cast("int"), F.lit(0))
     return facts.select(
@@ -225,7 +228,7 @@ def special_events(events: DataFrame, contests: DataFrame, names: DataFrame, ord
     owned = events.withColumn("username", F.coalesce("username", F.lit(""))).join(owners, ["battle_id", "username"])
     first = Window.partitionBy("battle_id", "side").orderBy(*order)
     kept = owned.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    return kept.join(names.select(F.col("showdown_name").alias("species"), "species_id"), "species", "left").select("battle_id", "side", "regulation", "rating_band", "species_id", "label", "won")
+    return look_up(kept, names.select(F.col("showdown_name").alias("species"), "species_id"), "species", "left", "battle_id").select("battle_id", "side", "regulation", "rating_band", "species_id", "label", "won")
 
 
 def unattributed_events(events: DataFrame, contests: DataFrame) -> DataFrame:

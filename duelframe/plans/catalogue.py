@@ -5,6 +5,7 @@ Doubles are rounded to nine places on both sides, so that the order of additions
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from duelframe.operators import eda as E
 from duelframe.operators import quality as Q
 from duelframe.operators import similarity
 from duelframe.plans import catalogue_sql as S
-from duelframe.session import table
+from duelframe.plans import logs_sql, sample_logs
+from duelframe.session import Scratch, table
 from duelframe.sources import logs
 
 #: Support limits and segment of the registered queries, fit for the size of the test tables.
@@ -26,24 +28,42 @@ PLACES = 9
 
 
 class Tables:
-    """The tables of one folder and what is derived from them; all lazy."""
+    """The tables of one folder and what is derived from them.
+
+    The scope and the name map are read by several branches of most plans: each is written once to the shared folder when
+    it is first asked for. All else is lazy.
+    """
 
     def __init__(self, spark: SparkSession, d: str):
-        self.spark = spark
+        self.spark, self.folder = spark, d
         self.battle, self.players, self.slots, self.leads, self.stats, self.overrides, self.fakes = (
             table(spark, d, t) for t in ("battle", "battle_players", "battle_team_slot", "battle_leads", "pokemon_stats", "showdown_overrides", "showdown_non_canonical")
         )
-        self.scope = C.scope(self.battle, self.players)
 
+    @functools.cached_property
+    def scratch(self) -> Scratch:
+        return Scratch(self.spark, "contest")
+
+    @functools.cached_property
+    def scope(self) -> DataFrame:
+        return self.scratch.save(C.scope(self.battle, self.players))
+
+    @functools.cached_property
     def counts(self) -> DataFrame:
         return Q.split_fakes(Q.name_counts(self.slots.select("pokemon_name"), self.slots.select("species_observed")), self.fakes)[0]
 
+    @functools.cached_property
     def mapping(self) -> tuple[DataFrame, DataFrame]:
-        return Q.build_mapping(self.counts(), self.stats, self.overrides, strict=False)
+        mapped, unmatched = Q.build_mapping(self.scratch.save(self.counts), self.stats, self.overrides, strict=False)
+        return self.scratch.save(mapped), unmatched
 
     @property
     def names(self) -> DataFrame:
-        return self.mapping()[0]
+        return self.mapping[0]
+
+    @property
+    def logs(self) -> DataFrame:
+        return sample_logs.composed_logs(self.spark, {"battle": self.battle, "battle_players": self.players, "battle_leads": self.leads, "battle_team_slot": self.slots})
 
     @property
     def usage(self) -> DataFrame:
@@ -81,24 +101,26 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, PLACES).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def composed_logs(t: Tables) -> DataFrame:
-    """(battle_id, log): a log per battle written from its player and roster rows, for the log queries."""
-    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
-    said = t.players.where("side IS NOT NULL").select("battle_id", F.lit(0).alias("part"), text("|player|", F.col("side"), "|", F.col("username"), "|0|", F.col("rating_before")).alias("line"))
-    shown = t.slots.where("player_side IS NOT NULL").select("battle_id", F.lit(1).alias("part"), text("|poke|", F.col("player_side"), "|", F.col("pokemon_name"), "|").alias("line"))
-    ends = t.battle.groupBy("battle_id").agg(F.max("winner_name").alias("w")).where("w IS NOT NULL").select("battle_id", F.lit(2).alias("part"), text("|win|", F.col("w")).alias("line"))
-    lines = said.unionByName(shown).unionByName(ends).where("battle_id IS NOT NULL")
-    # a battle has some fifteen rows; the lines of one battle are one log
-    logs = lines.groupBy("battle_id").agg(F.array_sort(F.collect_list(F.struct("part", "line"))).alias("l"))
-    return logs.select("battle_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("log"))
+LOG_TABLES = {
+    "log_battles": "battle", "log_accounts": "players", "log_players": "battle_players", "log_rosters": "battle_team_slot", "log_leads": "battle_leads", "log_moves": "battle_move",
+    "log_damage": "battle_damage", "log_kos": "battle_ko", "log_faints": "battle_faint", "log_switches": "battle_switch", "log_weather": "battle_weather", "log_status": "battle_status",
+    "log_abilities": "battle_ability", "log_special_events": "battle_tera", "log_field_states": "battle_field_state", "log_errors": "errors",
+}
+
+
+def log_table(name: str) -> Callable[[Tables], DataFrame]:
+    """One fact table of the logs that are composed from the contest tables."""
+    drop = {"battle_players": "rating_after", "errors": "source_file"}.get(name)
 
+    def build(t: Tables) -> DataFrame:
+        facts = logs.fact_tables(t.logs)[name]
+        return facts.drop(drop) if drop else facts
 
-def log_facts(t: Tables, name: str) -> DataFrame:
-    return logs.fact_tables(composed_logs(t))[name]
+    return build
 
 
 _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
-    "scope_contests": lambda t: t.scope,
+    "scope_contests": lambda t: C.scope(t.battle, t.players),
     "band_totals": lambda t: C.band_totals(t.scope),
     "usage_share": lambda t: t.usage,
     "usage_unmapped": lambda t: C.unmapped_slots(t.slots, t.scope, t.names),
@@ -129,11 +151,11 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "popularity_vs_success": lambda t: E.popularity_vs_success(t.usage, TEAMS),
     "popularity_by_band": lambda t: E.popularity_by_band(t.usage, [X.ALL_BANDS, X.LOWEST_BAND, "1200_1399"], TEAMS, 10),
     "band_shift": lambda t: E.band_shift(t.usage, SEGMENT, X.LOWEST_BAND, "1200_1399", 10, 8).select("end", "species_id", "shift_pp"),
-    "name_normalize": lambda t: t.counts().select("showdown_name", X.slug(F.col("showdown_name")).alias("slug")),
+    "name_normalize": lambda t: t.counts.select("showdown_name", X.slug(F.col("showdown_name")).alias("slug")),
     "name_mapping": lambda t: t.names,
-    "name_unmatched": lambda t: t.mapping()[1],
-    "name_suggestions": lambda t: Q.suggestions(t.mapping()[1], t.stats),
-    "mapping_coverage": lambda t: Q.coverage(*t.mapping()),
+    "name_unmatched": lambda t: t.mapping[1],
+    "name_suggestions": lambda t: Q.suggestions(t.mapping[1], t.stats),
+    "mapping_coverage": lambda t: Q.coverage(*t.mapping),
     "side_coverage": lambda t: Q.side_coverage(t.slots, t.players),
     "masked_resolution": lambda t: Q.resolve_masked(t.slots, t.players, t.events.select("battle_id", "username", F.col("species").alias("pokemon_name"))),
     "masked_summary": lambda t: Q.resolution_summary(Q.resolve_masked(t.slots, t.players, t.events.select("battle_id", "username", F.col("species").alias("pokemon_name")))),
@@ -142,9 +164,8 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "sent_out_histogram": lambda t: Q.sent_out_histogram(t.slots),
     "id_collisions": lambda t: Q.id_collisions(t.battle, "battle_id", "replay_path"),
     "first_per_id": lambda t: Q.first_per_id(t.battle, "battle_id", [F.col("loaded_at"), F.col("turn_count")])[1],
-    "log_players": lambda t: log_facts(t, "battle_players").select("battle_id", "side", "username", "rating_before", "result"),
-    "log_rosters": lambda t: log_facts(t, "battle_team_slot").select("battle_id", "player_side", F.col("slot_no").cast("int").alias("slot_no"), "pokemon_name", "form_status"),
     "item_similarity": lambda t: similarity.most_similar(similarity.train(similarity.corpus(t.slots)), "Nioholkrir", 20),
+    **{query: log_table(name) for query, name in LOG_TABLES.items()},
     "rating_histogram": lambda t: t.players.where("rating_before IS NOT NULL").groupBy((F.floor(F.col("rating_before") / 100) * 100).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("sides")),
 }
 
@@ -154,4 +175,4 @@ def _query(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(build) for name, build in _BUILD.items()}
-SQL: dict[str, str] = S.SQL
+SQL: dict[str, str] = {**S.SQL, **logs_sql.SQL}

@@ -154,16 +154,7 @@ mr AS (SELECT battle_id, player_side, slot_no, pokemon_name, username, coalesce(
 """
 _SEG_RE = "^gen9(champions)?vgc(\\d{4})reg([a-z](?:-[a-z])?)$"
 
-_LOGS = """
-pl AS (SELECT DISTINCT battle_id, side, username, rating_before, '|player|' || side || '|' || coalesce(username, '') || '|0|' || coalesce(rating_before::VARCHAR, '') AS line FROM battle_players WHERE battle_id IS NOT NULL AND side IS NOT NULL AND trim(coalesce(username, '')) <> ''),
-pw AS (SELECT battle_id, max(winner_name) AS w FROM battle GROUP BY 1),
-pf AS (SELECT battle_id, side, arg_min(username, line) AS username, arg_min(rating_before, line) FILTER (WHERE rating_before IS NOT NULL) AS rating_before FROM pl GROUP BY 1, 2),
-sl0 AS (SELECT battle_id, player_side, coalesce(pokemon_name, '') AS pn FROM battle_team_slot WHERE battle_id IS NOT NULL AND player_side IS NOT NULL)
-"""
-
 SQL: dict[str, str] = {
-    "log_players": _with(_LOGS, select="SELECT pf.battle_id, side, username, rating_before, CASE WHEN w IS NULL THEN NULL WHEN username = w THEN 'WIN' ELSE 'LOSS' END AS result FROM pf LEFT JOIN pw USING (battle_id)"),
-    "log_rosters": _with(_LOGS, select=f"SELECT battle_id, player_side, row_number() OVER (PARTITION BY battle_id, player_side ORDER BY '|poke|' || player_side || '|' || pn || '|')::INTEGER AS slot_no, trim(split_part(pn, ',', 1), {_WS}) AS pokemon_name, CASE WHEN trim(split_part(pn, ',', 1), {_WS}) LIKE '%-*' THEN 'unobserved' ELSE 'listed' END AS form_status FROM sl0"),
     "scope_contests": _with(_SCOPE, select="SELECT * FROM scope"),
     "band_totals": _with(_SCOPE, select="SELECT * FROM totals"),
     "usage_share": _all(_USAGE, select="SELECT * FROM usage"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -25,34 +27,57 @@ def local_session(cpus: str | int = "*", memory: str = "12g") -> SparkSession:
 
 
 def share_path(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver found it, whatever the working folder is."""
-    root = str(Path(__file__).resolve().parents[1])
-    environment = spark.sparkContext.environment
-    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    """Lets Python workers import this package, whatever the working folder is.
+
+    On one machine the folder of the driver is enough; a cluster gets the package shipped as a file.
+    """
+    root = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if str(root) in paths:
+        return
+    context.environment["PYTHONPATH"] = os.pathsep.join([str(root), *paths])
+    if not context.master.startswith("local"):
+        packed = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="duelframe-package-")) / "duelframe"), "zip", root, "duelframe")
+        context.addPyFile(packed)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir or the context's checkpoint directory names.
+
+    Where both are unset, a session on one machine gets a temporary folder, which is removed at the end; on a cluster that is
+    an error, since every executor would write its own disk.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="duelframe-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 class Scratch:
-    """Intermediate tables written below spark.checkpoint.dir.
+    """Intermediate tables written below the shared folder.
 
     A written table cuts the lineage as checkpoint() does, survives the loss of
     executors, and is computed once (an eager checkpoint computes its last stage
-    twice). Where no checkpoint folder is set, as in tests, one is created and set.
+    twice). Tables that a result still reads are removed when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="duelframe-")
-            spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
-        self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        atexit.register(self.clear)
 
     def save(self, df: DataFrame, *partition_by: str) -> DataFrame:
         self.n += 1
@@ -69,6 +94,15 @@ class Scratch:
         """Delete a saved table that no later step reads."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            self._delete(path)
+
+    def clear(self) -> None:
+        """Delete all saved tables; without effect once the session has ended."""
+        try:
+            self._delete(self.root)
+        except Exception:  # the gateway or the session is gone
+            pass
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,44 +1,60 @@
 """Contest logs to the fact tables by ordered windows instead of a per-log state machine.
 
 One log is one row. Its lines become one line table; the state of the machine at each line
-(phase, turn, what stands in each of the four places, health, last move) are running `last` values
-over the contest in line order, which plan to one exchange and one sort. Every fact table is a
-filter and a projection of that table. A contest is bounded by one log.
+(phase, turn, users, what stands in each of the four places, health, last move) are running values
+over the contest in line order, which plan to one exchange and few sorts. `state_table` holds all of it, and every
+fact table is a filter and a projection of that table. A contest is bounded by one log.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PLACES = ("p1a", "p1b", "p2a", "p2b")
+SIDES = ("p1", "p2")
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+# The kinds of lines that change the state or give a row.
+TOKENS = (
+    "start", "teampreview", "win", "tie", "turn", "t:", "player", "rated", "poke", "tier", "switch", "drag", "detailschange", "replace",
+    "move", "-damage", "-heal", "faint", "-weather", "-status", "-ability", "-terastallize", "-fail",
+)
 # Knock-out classes, first substring of the move text that is met, in this order.
 KO_TYPES = (
     ("brn", "BURN"), ("psn", "POISON"), ("tox", "POISON"), ("sandstorm", "WEATHER"), ("hail", "WEATHER"), ("snow", "WEATHER"),
     ("recoil", "MOVE"), ("spikes", "HAZARD"), ("stealth rock", "HAZARD"), ("sticky web", "HAZARD"),
 )
+#: Columns of a log that fill what the log does not say: column, field of battle, whether it is a whole number.
+META = (("uploadtime", "upload_time", True), ("rating", "rating", True), ("formatid", "format_id", False), ("format", "format", False))
+
+
+def _bare(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def _name(raw: Column) -> Column:
     """Nickname after the place, without a gender or shiny tail."""
     after = F.when(raw.contains(": "), F.regexp_replace(raw, r"^.*?: ", "")).otherwise(raw)
-    return F.regexp_replace(F.regexp_replace(after, r"(?i),\s*(M|F|shiny|shiny M|shiny F)$", ""), r"(?U)^\s+|\s+$", "")
+    return _bare(F.regexp_replace(after, r"(?i),\s*(M|F|shiny|shiny M|shiny F)$", ""))
 
 
 def _species(details: Column) -> Column:
-    return F.regexp_replace(F.substring_index(details, ",", 1), r"(?U)^\s+|\s+$", "")
+    return _bare(F.substring_index(details, ",", 1))
 
 
 def _place(raw: Column) -> Column:
-    return F.substring_index(raw, ":", 1)
+    return _bare(F.substring_index(raw, ":", 1))
 
 
 def hp_share(text: Column) -> Column:
     """Health in percent: a/b, a bare number, or 0 for fainted; else null."""
-    t = F.trim(text)
+    t = _bare(text)
     a, b = (F.regexp_extract(t, r"^(\d+(?:\.\d+)?)/(\d+(?:\.\d+)?)", i).try_cast("double") for i in (1, 2))
-    return F.when(t.isin("0 fnt", "fnt", "0"), 0.0).when(b == 0, 0.0).when(b.isNotNull(), F.bround(a / b * 100, 2)).otherwise(F.regexp_extract(t, r"^(\d+(?:\.\d+)?)$", 1).try_cast("double"))
+    whole = F.regexp_extract(t, r"^(\d+(?:\.\d+)?)$", 1).try_cast("double")
+    return F.when(t.isin("0 fnt", "fnt", "0"), 0.0).when(b == 0, 0.0).when(b.isNotNull(), F.bround(a / b * 100, 2)).otherwise(whole)
 
 
 def ko_type(move: Column) -> Column:
@@ -57,126 +73,300 @@ def contest_id(log: Column, stem: Column | None = None) -> Column:
 
 
 def valid_logs(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """First log of each id, and the errors: blank logs with a reason (L22, K5, P13, U6); null logs are dropped silently."""
+    """First log of each id, and (source_file, battle_id, error) of blank logs (L22, K5, P13, U6); null logs are dropped silently.
+
+    First is the log of the smallest (source_file, row_no), where the table has these columns, then of the smallest text.
+    """
     rows = logs.where("log IS NOT NULL")
     blank = F.regexp_replace("log", r"(?U)\s+", "") == ""
-    first = Window.partitionBy("battle_id").orderBy(F.xxhash64("log"))
+    order = [F.col(c) for c in ("source_file", "row_no") if c in logs.columns]
+    first = Window.partitionBy("battle_id").orderBy(*order, F.md5("log"))
     good = rows.where(~blank).withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    return good, rows.where(blank).select("battle_id", F.left(F.lit("empty log"), F.lit(1000)).alias("error"))
+    source = F.col("source_file") if "source_file" in logs.columns else F.lit(None).cast("string")
+    return good, rows.where(blank).select(source.alias("source_file"), "battle_id", F.lit("Empty or non-string log").alias("error"))
 
 
 def line_table(logs: DataFrame) -> DataFrame:
-    """(battle_id, seq, token, a): the lines that begin with '|', a holds the fields (L1)."""
-    lines = logs.select("battle_id", F.posexplode(F.split("log", LINE_BREAK)).alias("seq", "raw")).withColumn("line", F.regexp_replace("raw", r"(?U)^\s+|\s+$", ""))
-    return lines.where(F.col("line").startswith("|")).select("battle_id", "seq", F.split("line", "\\|").alias("a")).withColumn("token", F.get("a", F.lit(1)))
+    """(battle_id, seq, token, a): the lines that matter, a holds the fields (L1)."""
+    lines = logs.select("battle_id", F.posexplode(F.split("log", LINE_BREAK)).alias("seq", "raw")).select("battle_id", "seq", _bare(F.col("raw")).alias("line"))
+    lines = lines.where(F.col("line").startswith("|")).select("battle_id", "seq", F.split("line", "\\|").alias("a"))
+    return lines.withColumn("token", F.get("a", F.lit(1))).where(F.col("token").isin(*TOKENS))
+
+
+def _tag(name: str, start: int) -> Column:
+    """Text after the last field from `start` on that begins with a tag such as [of]; null without one."""
+    fields = F.filter(F.transform(F.slice("a", start, F.greatest(F.size("a"), F.lit(1))), _bare), lambda x: x.startswith(name))
+    return _bare(F.replace(F.try_element_at(fields, F.lit(-1)), F.lit(name), F.lit("")))
+
 
+def state_table(logs: DataFrame) -> DataFrame:
+    """The lines with the state of the machine before them.
 
-def with_state(lines: DataFrame) -> DataFrame:
-    """Lines with phase before them, turn, and per place the active name, species, health and last move before them."""
+    phase; turn (of this line); p1_user, p2_user; for each place its name, species, health, last move, and where it was first
+    entered and first moved; and of the line itself: place, side, username, nick, species, hp_new, hp_before, entry, lead,
+    and whether the log is broken (a roster line of an unknown side).
+    """
     order = Window.partitionBy("battle_id").orderBy("seq")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    tok, arg = F.col("token"), lambda i: F.get("a", F.lit(i))
-    move_to = F.when(tok.isin("start", "turn"), "battle").when(tok == "teampreview", "preview").when(tok.isin("win", "tie"), "post")
-    rows = lines.withColumn("phase", F.coalesce(F.last(move_to, True).over(before), F.lit("header")))
-    rows = rows.withColumn("turn", F.coalesce(F.last(F.when(tok == "turn", arg(2).try_cast("int")), True).over(upto), F.lit(0)))
-    live = F.col("phase") == "battle"
-    entry = (tok.isin("switch", "drag") & live) | ((tok == "switch") & (F.col("phase") == "preview"))
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tok, arg, size = F.col("token"), lambda i: F.get("a", F.lit(i)), F.size("a")
+    step = F.when(tok.isin("start", "turn"), "battle").when(tok == "teampreview", "preview").when(tok.isin("win", "tie"), "post")
+    rows = line_table(logs).withColumns({
+        "phase": F.coalesce(F.last(step, True).over(before), F.lit("header")),
+        "turn": F.coalesce(F.last(F.when(tok == "turn", _bare(arg(2)).try_cast("int")), True).over(upto), F.lit(0)),
+    })
+    live, head = F.col("phase") == "battle", F.col("phase").isin("header", "preview")
+    entry = (size >= 4) & ((tok.isin("switch", "drag") & live) | ((tok == "switch") & (F.col("phase") == "preview")))
+    change = live & tok.isin("detailschange", "replace") & (size >= 4)
+    rows = rows.withColumns({"live": live, "head": head, "entry": entry, "place": F.when(entry | live, _place(arg(2))), "nick": _name(arg(2))})
     rows = rows.withColumns({
-        "place": F.when(entry | live, _place(arg(2))), "nick": _name(arg(2)), "entry": entry,
-        "hp_new": F.when(entry, hp_share(arg(4))).when(live & tok.isin("-damage", "-heal"), hp_share(arg(3))),
-        "sp_new": F.when(entry | (live & tok.isin("detailschange", "replace")), _species(arg(3))),
-        "mv_new": F.when(live & (tok == "move") & (F.size("a") >= 5), arg(3)),
+        "side": F.left("place", F.lit(2)),
+        "hp_new": F.when(F.col("entry"), hp_share(arg(4))).when(live & tok.isin("-damage", "-heal") & (size >= 4), hp_share(arg(3))),
+        "sp_new": F.when(F.col("entry") | change, _species(arg(3))),
+        "mv_new": F.when(live & (tok == "move") & (size >= 5), arg(3)),
+        "user": F.when(head & (tok == "player") & (size >= 4), F.nullif(_bare(arg(3)), F.lit(""))),
     })
-    state = {}
+    bad = head & (tok == "poke") & (size >= 4) & ~arg(2).isin(*SIDES)
+    state = {"broken": F.coalesce(F.max(bad).over(every), F.lit(False))}
+    for s in SIDES:
+        state[f"{s}_user"] = F.first(F.when(arg(2) == s, F.col("user")), True).over(upto)
     for p in PLACES:
         here = F.col("place") == p
         state[f"{p}_name"] = F.last(F.when(here & F.col("entry"), F.col("nick")), True).over(before)
         state[f"{p}_species"] = F.last(F.when(here, F.col("sp_new")), True).over(before)
         state[f"{p}_hp"] = F.last(F.when(here, F.col("hp_new")), True).over(before)
         state[f"{p}_move"] = F.last(F.when(here, F.col("mv_new")), True).over(before)
-        state[f"{p}_first"] = F.min(F.when(here & F.col("mv_new").isNotNull(), F.col("seq"))).over(before)
-    own = Window.partitionBy("battle_id", F.left("place", F.lit(2)), "nick").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        state[f"{p}_moved"] = F.min(F.when(here & F.col("mv_new").isNotNull(), F.col("seq"))).over(before)
+        state[f"{p}_entered"] = F.min(F.when(here & F.col("entry"), F.col("seq"))).over(before)
     rows = rows.withColumns(state)
-    at_place = lambda what: F.coalesce(*[F.when(F.col("place") == p, F.col(f"{p}_{what}")) for p in PLACES])
-    rows = rows.withColumn("species", F.coalesce(F.when(at_place("name") == F.col("nick"), at_place("species")), F.last("sp_new", True).over(own), F.lit("")))
-    return rows.withColumns({"hp_before": F.coalesce(at_place("hp"), F.lit(100.0)), "live": live})
+    own = Window.partitionBy("battle_id", "side", "nick").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    opening = F.col("entry") & ((F.col("phase") == "preview") | (F.col("turn") == 0))
+    placed = Window.partitionBy("battle_id", "place").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({
+        "species": F.coalesce(species_of(F.col("place"), F.col("nick")), F.last("sp_new", True).over(own), F.lit("")),
+        "hp_before": F.coalesce(at(F.col("place"), "hp"), F.lit(100.0)),
+        "username": F.coalesce(F.when(F.col("side") == "p1", F.col("p1_user")).when(F.col("side") == "p2", F.col("p2_user")), F.lit("")),
+        "lead": opening & (F.coalesce(F.sum(F.when(opening, 1)).over(placed), F.lit(0)) == 0),
+    })
 
 
-def fact_tables(logs: DataFrame) -> dict[str, DataFrame]:
-    """The fact tables of first logs (battle_id, log); lazy projections of one state table.
+def at(place: Column, what: str) -> Column:
+    """What the state says of a place."""
+    return F.coalesce(*[F.when(place == p, F.col(f"{p}_{what}")) for p in PLACES])
 
-    Unknown owners and species are '' as in the logs; times, ratings and results are null where absent.
+
+def species_of(place: Column, nick: Column) -> Column:
+    """Species of a nickname that stands at its place now, else null."""
+    return F.when(at(place, "name") == nick, at(place, "species"))
+
+
+def _damages(state: DataFrame) -> DataFrame:
+    """Damage lines with attacker, its species and the move, and what is known of the defender.
+
+    The attacker is named by [of]; else it is what stands now at the opposing place that moved first in
+    the log. The move is the last one of the attacker's place, else the [from] text.
     """
-    lines = with_state(line_table(logs))
+    tok = F.col("token")
+    rows = state.withColumns({"of": _tag("[of]", 5), "cause": F.coalesce(_tag("[from]", 5), F.lit(""))})
+    rows = rows.where(F.col("live") & (tok == "-damage") & F.col("hp_new").isNotNull())
+    rows = rows.withColumns({"of_place": _place(F.col("of")), "of_nick": F.nullif(_name(F.col("of")), F.lit(""))})
+    about = lambda p, *first: F.struct(*first, F.col(f"{p}_name").alias("name"), F.col(f"{p}_species").alias("sp"), F.col(f"{p}_move").alias("move"))
+    rival = lambda p: (F.col("side") != p[:2]) if p[:2] == "p1" else (F.col("side") == "p1")
+    foes = F.array(*[F.when(rival(p) & F.col(f"{p}_moved").isNotNull(), about(p, F.col(f"{p}_moved").alias("o"))) for p in PLACES])
+    named = F.array(*[F.when(F.col(f"{p}_name") == F.col("of_nick"), about(p, F.col(f"{p}_entered").alias("o"))) for p in PLACES])
+    rows = rows.withColumn("foe", F.get(F.array_sort(F.array_compact(foes)), F.lit(0))).withColumn("by", F.get(F.array_sort(F.array_compact(named)), F.lit(0)))
+    rows = rows.withColumn("of_species", species_of(F.col("of_place"), F.col("of_nick")))
+    # a named attacker that has left its place is known by the last species of its nickname
+    asked = rows.where("of_nick IS NOT NULL AND of_species IS NULL").select("battle_id", "seq", F.left("of_place", F.lit(2)).alias("side"), F.col("of_nick").alias("nick"))
+    seen = state.where("sp_new IS NOT NULL").select("battle_id", "side", "nick", F.col("seq").alias("at_seq"), "sp_new")
+    left = asked.join(seen, ["battle_id", "side", "nick"]).where("at_seq < seq").groupBy("battle_id", "seq").agg(F.max_by("sp_new", "at_seq").alias("left_species"))
+    rows = rows.join(left, ["battle_id", "seq"], "left")
+    told = F.col("of_nick").isNotNull()
+    full = lambda c: F.nullif(c, F.lit(""))
+    return rows.withColumns({
+        "attacker": F.coalesce("of_nick", "foe.name", F.lit("")),
+        "attacker_species": F.when(told, F.coalesce("of_species", "left_species", F.lit(""))).otherwise(F.coalesce("foe.sp", F.lit(""))),
+        "move_name": F.coalesce(full(F.when(told, F.col("by.move")).otherwise(F.col("foe.move"))), F.col("cause")),
+    })
+
+
+def _knock_outs(state: DataFrame, damages: DataFrame) -> DataFrame:
+    """Faints that follow a lethal damage of their place with no faint between."""
+    tok = F.col("token")
+    hit = F.struct("attacker", "attacker_species", "species", "move_name")
+    lethal = damages.where("hp_new = 0").select("battle_id", "place", "seq", "turn", "nick", hit.alias("hit"))
+    falls = state.where(F.col("live") & (tok == "faint") & (F.size("a") >= 3))
+    falls = falls.select("battle_id", "place", "seq", "turn", "nick", F.lit(None).cast(lethal.schema["hit"].dataType).alias("hit"))
+    order = Window.partitionBy("battle_id", "place").orderBy("seq")
+    # a later lethal damage replaces an earlier one, and a faint takes it away: the line before a faint decides
+    chain = lethal.unionByName(falls).withColumn("last", F.lag("hit").over(order)).where("hit IS NULL AND last IS NOT NULL")
+    return chain.select(
+        "battle_id", _turn_no(), F.col("last.attacker").alias("killer_pokemon"), F.col("nick").alias("victim_pokemon"),
+        F.col("last.attacker_species").alias("killer_species"), F.col("last.species").alias("victim_species"),
+        F.col("last.move_name").alias("move_name"), ko_type(F.col("last.move_name")).alias("ko_type"),
+    )
+
+
+def _moves(state: DataFrame) -> DataFrame:
+    """Moves with their success: a tag of the line, or a later -fail of the same nickname before the next move of the log, undoes it."""
+    tok, arg = F.col("token"), lambda i: F.get("a", F.lit(i))
+    is_move = (tok == "move") & (F.size("a") >= 5)
+    rows = state.where(F.col("live") & (is_move | ((tok == "-fail") & (F.size("a") >= 3))))
+    rows = rows.withColumn("_m", F.count_if(is_move).over(Window.partitionBy("battle_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    group = Window.partitionBy("battle_id", "_m")
+    mover = F.max(F.when(is_move, F.col("nick"))).over(group)
+    rows = rows.withColumn("_mover", mover).withColumn("_undone", F.coalesce(F.bool_or((tok == "-fail") & (F.col("nick") == F.col("_mover"))).over(group), F.lit(False)))
+    missed = F.exists(F.slice("a", 6, F.greatest(F.size("a"), F.lit(1))), lambda x: _bare(x).isin("[miss]", "[notarget]"))
+    return rows.where(is_move).select(
+        "battle_id", _turn_no(), "username", F.col("nick").alias("pokemon_name"), "species", arg(3).alias("move_name"),
+        F.coalesce(_name(arg(4)), F.lit("")).alias("target_name"), F.when(missed | F.col("_undone"), 0).otherwise(1).cast("tinyint").alias("success"),
+    )
+
+
+def _slots(state: DataFrame) -> DataFrame:
+    """Roster lines with what was seen of them (L6, L21): matched by species with all that entered and with the leads of the side."""
     tok, arg = F.col("token"), lambda i: F.get("a", F.lit(i))
-    head = lines.where(F.col("phase").isin("header", "preview"))
-    done = lines.where(tok.isin("win", "tie")).groupBy("battle_id").agg(F.max_by(F.when(tok == "win", arg(2)), "seq").alias("winner_name"))
-    said = head.where((tok == "player") & (F.size("a") >= 4) & (F.trim(arg(3)) != "")).select("battle_id", "seq", arg(2).alias("side"), arg(3).alias("username"), F.when(arg(5).rlike(r"^-*\d+$"), arg(5).try_cast("int")).alias("rating"))
-    players = said.groupBy("battle_id", "side").agg(F.min_by("username", "seq").alias("username"), F.min_by(F.col("rating"), F.when(F.col("rating").isNotNull(), F.col("seq"))).alias("rating_before"))
-    players = players.join(done, "battle_id", "left").select("battle_id", "username", "side", "rating_before", F.lit(None).cast("int").alias("rating_after"), F.when(F.col("winner_name").isNull(), None).when(F.col("username") == F.col("winner_name"), "WIN").otherwise("LOSS").alias("result")).persist()
-    tier = F.array_join(F.slice("a", 3, 1000), "|")
-    meta = head.groupBy("battle_id").agg(
-        F.max_by(F.when(tok == "tier", tier), F.when(tok == "tier", F.col("seq"))).alias("format"), F.max_by(F.when(tok == "t:", arg(2).try_cast("long")), F.when((tok == "t:") & arg(2).try_cast("long").isNotNull(), F.col("seq"))).alias("upload_time"),
-        F.nullif(F.max_by(F.when(tok == "rated", F.regexp_extract(F.coalesce(arg(2), F.lit("")), r"(\d+)", 1).try_cast("int")), F.when(tok == "rated", F.col("seq"))), F.lit(0)).alias("rating"),
+    # a lead belongs to the last side that its user took
+    lead_side = F.when(F.col("username") == "", None).when(F.col("username") == F.col("p2_user"), "p2").otherwise(F.col("side"))
+    entries = state.where("entry").select("battle_id", "side", "sp_new", F.when(F.col("lead") & (F.col("sp_new") != ""), lead_side).alias("lead_side"))
+    sent = entries.groupBy("battle_id", F.col("side").alias("player_side")).agg(F.collect_set("sp_new").alias("sent"))
+    led = entries.where("lead_side IS NOT NULL").groupBy("battle_id", F.col("lead_side").alias("player_side")).agg(F.collect_set("sp_new").alias("led"))
+    poke = state.where(F.col("head") & (tok == "poke") & (F.size("a") >= 4)).select("battle_id", "seq", arg(2).alias("player_side"), _species(arg(3)).alias("pokemon_name"))
+    numbered = poke.withColumn("slot_no", F.row_number().over(Window.partitionBy("battle_id", "player_side").orderBy("seq")).cast("smallint"))
+    rows = numbered.join(sent, ["battle_id", "player_side"], "left").join(led, ["battle_id", "player_side"], "left")
+    masked, name = F.col("pokemon_name").endswith("-*"), F.lower("pokemon_name")
+    base = F.regexp_replace(name, r"-\*$", "")
+    fits = lambda s: F.when(masked, (F.lower(s) == base) | F.startswith(F.lower(s), F.concat(base, F.lit("-")))).otherwise(F.lower(s) == name)
+    hits = lambda c: F.array_sort(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), fits))
+    rows = rows.withColumns({"seen": hits("sent"), "opened": hits("led")})
+    one, many = F.size("seen") == 1, F.size("seen") > 1
+    return rows.select(
+        "battle_id", "player_side", "slot_no", "pokemon_name", (F.size("opened") > 0).cast("tinyint").alias("is_lead"),
+        F.when(~masked, F.col("pokemon_name")).when(one, F.get("seen", F.lit(0))).otherwise("").alias("species_observed"),
+        F.when(~masked, "listed").when(one, "observed").when(many, "ambiguous").otherwise("unobserved").alias("form_status"),
+        (F.size("seen") > 0).cast("tinyint").alias("was_sent_out"),
     )
-    ends = lines.groupBy("battle_id").agg(F.max("turn").alias("turn_count"))
-    battle = ends.join(meta, "battle_id", "left").join(done, "battle_id", "left").select("battle_id", "format", F.lower(F.regexp_replace("format", r"[\[\]\s]+", "")).alias("format_id"), "upload_time", "rating", "winner_name", "turn_count")
-    owner = players.select("battle_id", F.col("side").alias("_side"), "username")
-    live = lines.where("live").withColumn("_side", F.left("place", F.lit(2)))
-    owned = live.join(owner, ["battle_id", "_side"], "left").withColumn("username", F.coalesce("username", F.lit("")))
-    entries = lines.where("entry").withColumn("_side", F.left("place", F.lit(2))).join(owner, ["battle_id", "_side"], "left").withColumn("username", F.coalesce("username", F.lit("")))
-    opening = (F.col("phase") == "preview") | (F.col("turn") == 0)
-    nth = F.row_number().over(Window.partitionBy("battle_id", "place").orderBy(F.when(opening & (tok == "switch"), 0).otherwise(1), "seq"))
-    entries = entries.withColumn("lead", opening & (tok == "switch") & (nth == 1))
-    sent = entries.groupBy("battle_id", F.col("_side").alias("player_side")).agg(F.collect_set("sp_new").alias("sent"), F.collect_set(F.when(F.col("lead"), F.col("sp_new"))).alias("led"))
-    poke = head.where(tok == "poke").select("battle_id", "seq", arg(2).alias("player_side"), _species(arg(3)).alias("pokemon_name"))
-    slots = poke.withColumn("slot_no", F.row_number().over(Window.partitionBy("battle_id", "player_side").orderBy("seq")).cast("smallint")).join(sent, ["battle_id", "player_side"], "left")
-    base = F.lower(F.regexp_replace("pokemon_name", r"-\*$", ""))
-    masked = F.col("pokemon_name").endswith("-*")
-    pool = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    hit = lambda c: F.array_sort(F.filter(pool(F.col(c)), lambda s: F.when(masked, (F.lower(s) == base) | F.startswith(F.lower(s), F.concat(base, F.lit("-")))).otherwise(F.lower(s) == F.lower("pokemon_name"))))
-    slots = slots.withColumn("m", hit("sent")).select(
-        "battle_id", "player_side", "slot_no", "pokemon_name", (F.size(hit("led")) > 0).cast("tinyint").alias("is_lead"),
-        F.when(~masked, F.col("pokemon_name")).when(F.size("m") == 1, F.col("m")[0]).otherwise("").alias("species_observed"),
-        F.when(~masked, "listed").when(F.size("m") == 1, "observed").when(F.size("m") > 1, "ambiguous").otherwise("unobserved").alias("form_status"), (F.size("m") > 0).cast("tinyint").alias("was_sent_out"),
+
+
+def _battles(state: DataFrame, logs: DataFrame) -> DataFrame:
+    """One row per log: what its lines say, and where they say nothing, what the columns of the log say."""
+    tok, arg = F.col("token"), lambda i: F.get("a", F.lit(i))
+    last = lambda value: F.max_by(value, F.when(value.isNotNull(), F.col("seq")))
+    in_head = lambda token, value: F.when(F.col("head") & (tok == token) & (F.size("a") > 2), value)
+    tier = F.array_join(F.slice("a", 3, F.size("a")), "|")
+    rated = _bare(arg(2))
+    said = state.groupBy("battle_id").agg(
+        last(in_head("tier", tier)).alias("format"), last(in_head("t:", rated.try_cast("long"))).alias("upload_time"),
+        F.nullif(last(in_head("rated", F.when(rated.rlike(r"^-*\d+$"), rated.try_cast("int")))), F.lit(0)).alias("rating"),
+        last(F.when((tok == "win") & (F.size("a") > 2), _bare(arg(2)))).alias("winner_name"),
+        last(F.when(tok == "turn", rated.try_cast("int"))).alias("turn_count"), F.max("broken").alias("broken"),
     )
-    event = lambda token, *extra: owned.where((tok == token) & (F.size("a") >= 3)).select("battle_id", F.col("turn").cast("smallint").alias("turn_no"), "username", F.col("nick").alias("pokemon_name"), "species", *extra)
-    failed = F.exists(F.slice("a", 6, 1000), lambda x: x.isin("[miss]", "[notarget]"))
-    # a later '-fail' of the same nickname undoes the latest move of the whole log
-    latest = Window.partitionBy("battle_id").orderBy("seq")
-    is_move = (tok == "move") & (F.size("a") >= 5)
-    runs = owned.withColumn("_m", F.sum(F.when(is_move, 1).otherwise(0)).over(latest.rowsBetween(Window.unboundedPreceding, 0)))
-    mover = F.first(F.when(is_move, F.col("nick")), True).over(Window.partitionBy("battle_id", "_m").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    undone = F.max(F.when((tok == "-fail") & (F.col("nick") == F.col("_mover")), 1).otherwise(0)).over(Window.partitionBy("battle_id", "_m"))
-    moves = runs.withColumn("_mover", mover).withColumn("_undone", undone).where(is_move).select(
-        "battle_id", F.col("turn").cast("smallint").alias("turn_no"), "username", F.col("nick").alias("pokemon_name"), "species", arg(3).alias("move_name"), F.coalesce(_name(arg(4)), F.lit("")).alias("target_name"), F.when(failed | (F.col("_undone") == 1), 0).otherwise(1).cast("tinyint").alias("success"),
+    held = logs.select(
+        "battle_id", (F.col("replay_path") if "replay_path" in logs.columns else F.lit(None)).cast("string").alias("replay_path"),
+        *[(F.bround(F.col(c), 0).try_cast("long") if number else F.col(c).cast("string")).alias(f"meta_{to}") for c, to, number in META if c in logs.columns],
     )
-    # the attacker is named by [of]; else the first opposing place in order of first moves, with what stands there now
-    of = F.get(F.filter("a", lambda x: x.startswith("[of] ")), F.lit(0))
-    cause = F.get(F.filter("a", lambda x: x.startswith("[from] ")), F.lit(0))
-    foes = F.array_sort(F.array_compact(F.array(*[F.when((F.lit(p[:2]) != F.left("place", F.lit(2))) & F.col(f"{p}_first").isNotNull(), F.struct(F.col(f"{p}_first").alias("first"), F.col(f"{p}_name").alias("name"), F.col(f"{p}_species").alias("sp"), F.col(f"{p}_move").alias("move"))) for p in PLACES])))
-    named = F.array_compact(F.array(*[F.when(F.col(f"{p}_name") == _name(F.regexp_replace(of, r"^\[of\] ", "")), F.struct(F.col(f"{p}_name").alias("name"), F.col(f"{p}_species").alias("sp"), F.col(f"{p}_move").alias("move"))) for p in PLACES]))
-    dmg = live.where((tok == "-damage") & F.col("hp_new").isNotNull()).withColumn("foe", F.get(foes, F.lit(0))).withColumn("by", F.get(named, F.lit(0)))
-    has_of = of.isNotNull()
-    move = F.coalesce(F.when(has_of, F.col("by.move")).otherwise(F.col("foe.move")), F.regexp_replace(cause, r"^\[from\] ", ""), F.lit(""))
-    dmg = dmg.withColumns({"_move": move, "_att": F.coalesce(F.when(has_of, _name(F.regexp_replace(of, r"^\[of\] ", ""))).otherwise(F.col("foe.name")), F.lit("")), "_asp": F.coalesce(F.when(has_of, F.col("by.sp")).otherwise(F.col("foe.sp")), F.lit(""))})
-    damage = dmg.select("battle_id", F.col("turn").cast("smallint").alias("turn_no"), F.col("_att").alias("attacker_pokemon"), F.col("nick").alias("defender_pokemon"), F.col("_asp").alias("attacker_species"), F.col("species").alias("defender_species"), F.col("_move").alias("move_name"), F.col("hp_before").cast("float").alias("hp_before"), F.col("hp_new").cast("float").alias("hp_after"), F.bround(F.col("hp_before") - F.col("hp_new"), 2).cast("float").alias("damage_pct"))
-    # a faint after a lethal damage of its place, with no faint between, is a knock-out
-    lethal = dmg.where("hp_new = 0").select("battle_id", "place", "seq", F.struct("_att", "_asp", "_move", "nick", "species").alias("d"))
-    falls = live.where(tok == "faint").select("battle_id", "place", "seq", "turn", F.lit(None).cast(lethal.schema["d"].dataType).alias("d"))
-    chain = lethal.select("battle_id", "place", "seq", F.lit(None).cast("int").alias("turn"), "d").unionByName(falls.select("battle_id", "place", "seq", "turn", "d"))
-    w = Window.partitionBy("battle_id", "place").orderBy("seq")
-    chain = chain.withColumn("_f", F.coalesce(F.sum(F.when(F.col("turn").isNotNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ko = chain.withColumn("last", F.last("d", True).over(Window.partitionBy("battle_id", "place", "_f").orderBy("seq"))).where("turn IS NOT NULL AND last IS NOT NULL").select(
-        "battle_id", F.col("turn").cast("smallint").alias("turn_no"), F.col("last._att").alias("killer_pokemon"), F.col("last.nick").alias("victim_pokemon"), F.col("last._asp").alias("killer_species"), F.col("last.species").alias("victim_species"), F.col("last._move").alias("move_name"), ko_type(F.col("last._move")).alias("ko_type"),
+    rows = held.join(said, "battle_id", "left").where(~F.coalesce("broken", F.lit(False)))
+    rows = rows.withColumn("format_id", F.lower(F.regexp_replace("format", r"(?U)[\[\]\s]+", "")))
+    for c, to, number in META:
+        if c in logs.columns:
+            rows = rows.withColumn(to, F.coalesce(F.col(to) if number else F.nullif(F.col(to), F.lit("")), F.col(f"meta_{to}")))
+    return rows.select(
+        "battle_id", F.coalesce("format", F.lit("")).alias("format"), F.coalesce("format_id", F.lit("")).alias("format_id"), F.col("upload_time").cast("long").alias("upload_time"),
+        F.col("rating").cast("int").alias("rating"), "winner_name", "replay_path", F.coalesce("turn_count", F.lit(0)).alias("turn_count"),
     )
-    weather = live.where((tok == "-weather") & (F.lower(arg(2)) != "none") & ~F.exists("a", lambda x: x == "[upkeep]")).select("battle_id", F.col("turn").cast("smallint").alias("turn_no"), arg(2).alias("weather_name"), F.coalesce(_name(F.regexp_replace(of, r"^\[of\] ", "")), F.lit("")).alias("source_pokemon"))
-    seen = [F.coalesce(F.col(f"{p}_name"), F.lit("")).alias(n) for p, n in zip(PLACES, ("p1_left", "p1_right", "p2_left", "p2_right"), strict=True)]
-    leads = entries.where("lead").select("battle_id", "username", F.col("nick").alias("pokemon_name"), F.col("sp_new").alias("species"), (F.ascii(F.right("place", F.lit(1))) - 96).cast("tinyint").alias("lead_slot")).distinct()
-    switches = entries.where("NOT lead AND live").select("battle_id", F.col("turn").cast("smallint").alias("turn_no"), "username", F.col("nick").alias("pokemon_name"), F.col("sp_new").alias("species"))
-    return {
-        "battle": battle, "players": players.select("username").distinct(), "battle_players": players, "battle_team_slot": slots, "battle_leads": leads, "battle_move": moves, "battle_damage": damage, "battle_ko": ko,
-        "battle_faint": event("faint"), "battle_switch": switches, "battle_weather": weather, "battle_status": event("-status", arg(3).alias("status_code")), "battle_ability": event("-ability", arg(3).alias("ability_name")),
-        "battle_tera": event("-terastallize", arg(3).alias("tera_type")), "battle_field_state": lines.where(tok == "turn").select("battle_id", F.col("turn").cast("smallint").alias("turn_no"), *seen),
-    }
+
+
+def _players(state: DataFrame) -> DataFrame:
+    """One row per side (L4, L20): the first line names the user, a later one only fills the rating; a winner's name decides all sides."""
+    tok, arg = F.col("token"), lambda i: F.get("a", F.lit(i))
+    rating = F.when(_bare(arg(5)).rlike(r"^-*\d+$"), _bare(arg(5)).try_cast("int"))
+    won = F.max_by(_bare(arg(2)), F.when((tok == "win") & (F.size("a") > 2), F.col("seq"))).over(Window.partitionBy("battle_id"))
+    rows = state.where(F.col("user").isNotNull() | (tok == "win")).withColumn("won", won).where("user IS NOT NULL")
+    sides = rows.groupBy("battle_id", arg(2).alias("side")).agg(
+        F.min_by("user", "seq").alias("username"), F.min_by(rating, F.when(rating.isNotNull(), F.col("seq"))).alias("rating_before"), F.max("won").alias("won")
+    )
+    result = F.when(F.col("won").isNotNull(), F.when(F.col("username") == F.col("won"), "WIN").otherwise("LOSS"))
+    return sides.select("battle_id", "username", "side", "rating_before", F.lit(None).cast("int").alias("rating_after"), result.alias("result"))
+
+
+class FactTables(Mapping):
+    """The fact tables of first logs by name, each built when it is asked for, and `errors`.
+
+    Unknown owners and species are '' as in the logs; times, ratings and results are null where absent.
+    A log with a roster line of an unknown side is an error and gives no facts.
+    """
+
+    def __init__(self, logs: DataFrame, whole: DataFrame):
+        self.logs, self.whole, self.state = logs, whole, whole.where("NOT broken")
+        self._builders = {
+            "battle": lambda: _battles(self.whole, self.logs), "players": lambda: _players(self.state).select("username").distinct(),
+            "battle_players": lambda: _players(self.state), "battle_team_slot": lambda: _slots(self.state), "battle_leads": lambda: _leads(self.state),
+            "battle_move": lambda: _moves(self.state), "battle_damage": lambda: _damage_rows(_damages(self.state)), "battle_ko": lambda: _knock_outs(self.state, _damages(self.state)),
+            "battle_faint": lambda: self._event("faint", 3), "battle_switch": lambda: _switches(self.state), "battle_weather": lambda: _weather(self.state),
+            "battle_status": lambda: self._event("-status", 4, "status_code"), "battle_ability": lambda: self._event("-ability", 4, "ability_name"),
+            "battle_tera": lambda: self._event("-terastallize", 4, "tera_type"), "battle_field_state": lambda: _field_states(self.state),
+            "errors": lambda: _broken(self.whole),
+        }
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._builders[name]()
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+    def _event(self, token: str, fields: int, value: str | None = None) -> DataFrame:
+        rows = self.state.where(F.col("live") & (F.col("token") == token) & (F.size("a") >= fields))
+        extra = [_bare(F.get("a", F.lit(3))).alias(value)] if value else []
+        return rows.select("battle_id", _turn_no(), "username", F.col("nick").alias("pokemon_name"), "species", *extra)
+
+
+def _turn_no() -> Column:
+    return F.col("turn").cast("smallint").alias("turn_no")
+
+
+def _leads(state: DataFrame) -> DataFrame:
+    rows = state.where("lead").select("battle_id", "seq", "username", F.col("nick").alias("pokemon_name"), F.col("sp_new").alias("species"), (F.ascii(F.right("place", F.lit(1))) - 96).cast("tinyint").alias("lead_slot"))
+    first = rows.groupBy("battle_id", "username", "pokemon_name", "lead_slot").agg(F.min_by("species", "seq").alias("species"))
+    return first.select("battle_id", "username", "pokemon_name", "species", "lead_slot")
+
+
+def _damage_rows(damages: DataFrame) -> DataFrame:
+    share = F.bround(F.col("hp_before") - F.col("hp_new"), 2)
+    return damages.select(
+        "battle_id", _turn_no(), F.col("attacker").alias("attacker_pokemon"), F.col("nick").alias("defender_pokemon"), "attacker_species", F.col("species").alias("defender_species"),
+        "move_name", F.col("hp_before").cast("float").alias("hp_before"), F.col("hp_new").cast("float").alias("hp_after"), share.cast("float").alias("damage_pct"),
+    )
+
+
+def _switches(state: DataFrame) -> DataFrame:
+    return state.where("entry AND NOT lead").select("battle_id", _turn_no(), "username", F.col("nick").alias("pokemon_name"), F.col("sp_new").alias("species"))
+
+
+def _weather(state: DataFrame) -> DataFrame:
+    arg = F.get("a", F.lit(2))
+    upkeep = F.exists(F.slice("a", 4, F.size("a")), lambda x: x.contains("[upkeep]"))
+    rows = state.where(F.col("live") & (F.col("token") == "-weather") & (F.size("a") >= 3) & ~arg.isin("none", "None") & ~upkeep)
+    return rows.select("battle_id", _turn_no(), arg.alias("weather_name"), F.coalesce(_name(_tag("[of]", 4)), F.lit("")).alias("source_pokemon"))
+
+
+def _field_states(state: DataFrame) -> DataFrame:
+    names = zip(PLACES, ("p1_left", "p1_right", "p2_left", "p2_right"), strict=True)
+    return state.where("token = 'turn'").select("battle_id", _turn_no(), *[F.coalesce(F.col(f"{p}_name"), F.lit("")).alias(n) for p, n in names])
+
+
+def _broken(whole: DataFrame) -> DataFrame:
+    return whole.where("broken").select(F.lit(None).cast("string").alias("source_file"), "battle_id", F.lit("roster line of an unknown side").alias("error")).distinct()
+
+
+def fact_tables(logs: DataFrame, save=None) -> FactTables:
+    """The fact tables of first logs (battle_id, log and, where they are, replay_path and META).
+
+    save: writes a table and gives it back, such as Scratch.save, so that the state is computed once for
+    all tables; without it every table is a lazy projection of it.
+    """
+    whole = state_table(logs)
+    return FactTables(logs, whole if save is None else save(whole))

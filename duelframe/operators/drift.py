@@ -1,9 +1,10 @@
 """Problem 2: schemas that drift between files, by rescue-column ingestion.
 
 Records come as JSON objects of files with changing layouts. `ingest` enforces a target
-schema: a known column is found under any of its names, its value is brought to the target
-type, and all that is unknown or cannot be cast stays as JSON in the column `_rescued`.
-`replay` promotes approved fields out of it into typed columns. `changes` lists, file by file,
+schema: a known column is brought to its type, and all that is unknown or cannot be cast
+stays as JSON in the column `_rescued`; `_layout` keeps under which names and kinds the fields came. Everything
+else works on what was ingested: `learn_names` finds other names of a column among the rescued fields,
+`replay` brings their values and approved fields into typed columns, and `changes` lists, file by file,
 what was added, removed, renamed or retyped.
 
 Other names of a column are learned from content: the name never stands in a file
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.session import Scratch
+
 #: Target schemas.
 LAYOUTS = {
     "battle_leads": {"battle_id": "string", "username": "string", "pokemon_name": "string", "species": "string", "lead_slot": "tinyint"},
@@ -24,28 +27,27 @@ LAYOUTS = {
         "species_observed": "string", "form_status": "string", "was_sent_out": "tinyint",
     },
 }
-#: Columns with at most so many distinct values must also be distributed alike.
+#: A column whose values are as concentrated as those of so many equally frequent ones must also be distributed alike.
 FEW_VALUES = 20
+#: The values of a column hardly repeat if there are so many distinct ones per value.
+FRESH = 0.2
 #: Files of one feed whose numbers share this many following values are ordered in one task.
 FILES_A_PART = 4096
 
 
-def field_values(raw: DataFrame) -> DataFrame:
-    """(feed, file_no, table_name, field, kind, text): one row per field of each record.
-
-    kind is text, whole, decimal, bool, list or object, null for JSON null. Records that
-    are null, malformed or no objects have no fields.
-    """
-    rows = raw.select("feed", "file_no", "table_name", F.try_parse_json("payload").alias("v")).where("v IS NOT NULL")
-    spark = raw.sparkSession
-    each = spark.sql("SELECT feed, file_no, table_name, e.key AS field, schema_of_variant(e.value) AS type, e.value AS value FROM {rows}, LATERAL variant_explode(v) AS e", rows=rows)
-    kind = (
-        F.when(F.col("type") == "VOID", None).when(F.col("type") == "STRING", "text").when(F.col("type") == "BOOLEAN", "bool")
-        .when(F.col("type") == "BIGINT", "whole").when(F.col("type").startswith("ARRAY"), "list").when(F.col("type").startswith("OBJECT"), "object").otherwise("decimal")
+def kind_of(value: str) -> str:
+    """SQL for the kind of a JSON value: text, whole, decimal, bool, list or object; null for JSON null."""
+    t = f"schema_of_variant({value})"
+    return (
+        f"CASE WHEN {t} = 'VOID' THEN NULL WHEN {t} = 'STRING' THEN 'text' WHEN {t} = 'BOOLEAN' THEN 'bool' WHEN {t} = 'BIGINT' THEN 'whole' "
+        f"WHEN startswith({t}, 'ARRAY') THEN 'list' WHEN startswith({t}, 'OBJECT') THEN 'object' ELSE 'decimal' END"
     )
-    nested = F.col("kind").isin("list", "object")
-    text = F.when(nested, leaves(F.to_json("value"))).otherwise(F.try_variant_get("value", "$", "string"))
-    return each.where("field IS NOT NULL").withColumn("kind", kind).select("feed", "file_no", "table_name", "field", "kind", text.alias("text"))
+
+
+def text_of(value: Column) -> Column:
+    """A JSON value as text; lists and objects by their values."""
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(F.schema_of_variant(value).rlike("^(ARRAY|OBJECT)"), leaves(text)).otherwise(text)
 
 
 def leaves(json: Column) -> Column:
@@ -62,27 +64,76 @@ def plain_value(text: Column) -> Column:
     return t
 
 
-def learn_names(values: DataFrame, layouts: dict[str, dict[str, str]] = LAYOUTS) -> DataFrame:
-    """(table_name, field, column): the other names under which target columns are written."""
+def ingested_values(ingested: dict[str, DataFrame], layouts: dict[str, dict[str, str]]) -> DataFrame:
+    """(table_name, field, known, value, n): counts of the typed values of the columns and of the rescued values of unknown fields."""
+    out = None
+    for table, rows in ingested.items():
+        columns = list(layouts[table])
+        typed = F.transform(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("text")) for c in columns]), lambda x: x)
+        kept = F.from_json("_rescued", "map<string,variant>")
+        known = rows.select(F.explode(typed).alias("e")).select("e.field", F.lit(True).alias("known"), "e.text")
+        other = rows.where("_rescued IS NOT NULL").select(F.explode(kept).alias("field", "v")).where(~F.col("field").isin(columns)).select("field", F.lit(False).alias("known"), text_of(F.col("v")).alias("text"))
+        part = known.unionByName(other).where("text IS NOT NULL").select(F.lit(table).alias("table_name"), "field", "known", F.regexp_replace(plain_value(F.col("text")), r"[^\p{L}\p{N}]", "").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("table_name", "field", "known", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def learn_names(ingested: dict[str, DataFrame], files: DataFrame, layouts: dict[str, dict[str, str]] = LAYOUTS) -> DataFrame:
+    """(table_name, field, column): the other names under which target columns are written.
+
+    files: (feed, table_name, file_no, field, kind), see `file_layouts`. A name that never stands beside a column in a file is taken for it if
+    its values are the column's. Where a column's values hardly repeat, so is one that comes in exactly where the column goes, or goes
+    where it comes in, provided that no other name or column changes there and its values look alike.
+    """
     known = F.lit(False)
     for table, columns in layouts.items():
         known = known | ((F.col("table_name") == table) & F.col("field").isin(list(columns)))
-    counts = values.where("kind IS NOT NULL").select("table_name", "field", F.regexp_replace(plain_value(F.col("text")), r"[^\p{L}\p{N}]", "").alias("value"))
-    counts = counts.groupBy("table_name", "field", "value").agg(F.count(F.lit(1)).alias("n"))
-    sums = counts.groupBy("table_name", "field").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct_values"))
-    shares = counts.join(sums, ["table_name", "field"]).select("table_name", "field", "value", (F.col("n") / F.col("total")).alias("share"), "distinct_values", known.alias("known"))
+    counts = ingested_values(ingested, layouts)
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("table_name", "field"))
+    spread = 1 / F.sum(F.col("share") * F.col("share")).over(Window.partitionBy("table_name", "field"))
+    shares = counts.withColumn("share", share).withColumn("spread", spread)
     mine = shares.where("NOT known").select("table_name", "field", "value", "share")
-    theirs = shares.where("known").select("table_name", F.col("field").alias("column"), "value", F.col("share").alias("other"), "distinct_values")
+    theirs = shares.where("known").select("table_name", F.col("field").alias("column"), "value", F.col("share").alias("other"), "spread")
     alike = mine.join(theirs, ["table_name", "value"]).groupBy("table_name", "field", "column").agg(
-        F.sum("share").alias("held"), F.sum(F.least("share", "other")).alias("overlap"), F.max("distinct_values").alias("distinct_values")
+        F.sum("share").alias("held"), F.sum(F.least("share", "other")).alias("overlap"), F.max("spread").alias("spread")
     )
-    files = values.select("feed", "file_no", "table_name", "field").distinct().withColumn("known", known)
-    beside = files.where("NOT known").drop("known").join(
-        files.where("known").select("feed", "file_no", "table_name", F.col("field").alias("column")), ["feed", "file_no", "table_name"]
+    fields = files.select("feed", "table_name", "file_no", "field").withColumn("known", known)
+    beside = fields.where("NOT known").drop("known").join(
+        fields.where("known").select("feed", "file_no", "table_name", F.col("field").alias("column")), ["feed", "file_no", "table_name"]
     ).select("table_name", "field", "column").distinct()
-    fit = alike.where(F.when(F.col("distinct_values") <= FEW_VALUES, (F.col("held") >= 0.9) & (F.col("overlap") >= 0.5)).otherwise(F.col("held") >= 0.3))
-    best = Window.partitionBy("table_name", "field").orderBy(F.desc("held"), F.desc("overlap"), "column")
-    return fit.join(beside, ["table_name", "field", "column"], "left_anti").withColumn("r", F.row_number().over(best)).where("r = 1").select("table_name", "field", "column")
+    few = F.col("spread") <= FEW_VALUES
+    fit = alike.where(F.when(few, (F.col("held") >= 0.9) & (F.col("overlap") >= 0.5)).otherwise(F.col("held") >= 0.3)).select("*", F.lit(0).alias("by"))
+    swapped = _swaps(files, known).join(_shapes(counts), ["table_name", "field", "column"]).select("table_name", "field", "column", F.col("shared").alias("held"), F.lit(0.0).alias("overlap"), F.lit(0.0).alias("spread"), F.lit(1).alias("by"))
+    best = Window.partitionBy("table_name", "field").orderBy("by", F.desc("held"), F.desc("overlap"), "column")
+    chosen = fit.unionByName(swapped).join(beside, ["table_name", "field", "column"], "left_anti")
+    return chosen.withColumn("r", F.row_number().over(best)).where("r = 1").select("table_name", "field", "column")
+
+
+def _swaps(files: DataFrame, known: Column) -> DataFrame:
+    """(table_name, field, column): an unknown name and a column of which one goes and one comes in between two files of a feed, and nothing else does."""
+    own = ["feed", "table_name", "file_no"]
+    order = _previous(files.select(*own).distinct()).where("before IS NOT NULL")
+    fields = files.select(*own, "field").withColumn("known", known)
+    now = fields.join(order, own).select(*own, "field", "known", F.lit(1).alias("now"), F.lit(0).alias("was"))
+    was = fields.withColumnRenamed("file_no", "before").join(order, ["feed", "table_name", "before"]).select(*own, "field", "known", F.lit(0).alias("now"), F.lit(1).alias("was"))
+    moves = now.unionByName(was).groupBy(*own, "field", "known").agg((F.sum("now") - F.sum("was")).alias("step")).where("step <> 0")
+    pairs = moves.groupBy(*own).agg(
+        F.count_if("known").alias("columns"), F.count_if(~F.col("known")).alias("names"), F.sum("step").alias("both"),
+        F.max(F.when(F.col("known"), F.col("field"))).alias("column"), F.max(F.when(~F.col("known"), F.col("field"))).alias("field"),
+    )
+    return pairs.where("columns = 1 AND names = 1 AND both = 0").select("table_name", "field", "column").distinct()
+
+
+def _shapes(counts: DataFrame) -> DataFrame:
+    """(table_name, field, column, shared): how far the shapes of a name's values, such as letters or digits, are those of a column whose values hardly repeat."""
+    shape = F.regexp_replace(F.regexp_replace("value", r"\p{L}+", "a"), r"[0-9]+", "9")
+    rows = counts.groupBy("table_name", "field", "known", shape.alias("shape")).agg(F.sum("n").alias("n"))
+    rows = rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("table_name", "field")))
+    mine = rows.where("NOT known").select("table_name", "field", "shape", "share")
+    theirs = rows.where("known").select("table_name", F.col("field").alias("column"), "shape", F.col("share").alias("other"))
+    both = mine.join(theirs, ["table_name", "shape"]).groupBy("table_name", "field", "column").agg(F.sum(F.least("share", "other")).alias("shared"))
+    many = counts.where("known").groupBy("table_name", F.col("field").alias("column")).agg((F.count(F.lit(1)) / F.sum("n")).alias("fresh"))
+    return both.where("shared >= 0.8").join(many.where(F.col("fresh") >= FRESH), ["table_name", "column"]).drop("fresh")
 
 
 def _previous(files: DataFrame) -> DataFrame:
@@ -99,29 +150,54 @@ def _previous(files: DataFrame) -> DataFrame:
     return parted.withColumn("inside", inside).join(carry, [*own, "part"]).select(*own, "file_no", F.coalesce("inside", "carry").alias("before"))
 
 
-def file_layouts(values: DataFrame) -> DataFrame:
+def file_layouts(ingested: dict[str, DataFrame]) -> DataFrame:
     """(feed, table_name, file_no, field, kind): the fields of each file with the kind of most non-null values; null if all are null."""
+    values = None
+    for table, rows in ingested.items():
+        part = rows.select("feed", F.lit(table).alias("table_name"), "file_no", F.explode("_layout").alias("field", "kind"))
+        values = part if values is None else values.unionByName(part)
     counts = values.groupBy("feed", "table_name", "file_no", "field", "kind").agg(F.count(F.lit(1)).alias("n"))
     most = F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind")))
     return counts.groupBy("feed", "table_name", "file_no", "field").agg(most["kind"].alias("kind"))
 
 
+class Ingestion:
+    """The records of all tables under their target schemas, written once, with what was learned of them."""
+
+    def __init__(self, raw: DataFrame, layouts: dict[str, dict[str, str]] = LAYOUTS):
+        self.scratch, self.layouts = Scratch(raw.sparkSession, "drift"), layouts
+        placed = raw.where("feed IS NOT NULL AND file_no IS NOT NULL")
+        self.tables = {t: self.scratch.save(ingest(placed, t, types)) for t, types in layouts.items()}
+        self.files = self.scratch.save(file_layouts(self.tables))
+        self.names = self.scratch.save(learn_names(self.tables, self.files, layouts))
+
+    def name_map(self, table: str) -> dict[str, list[str]]:
+        """column -> its other names. Names are few: each stands for a target column."""
+        out: dict[str, list[str]] = {}
+        for r in self.names.where(F.col("table_name") == table).orderBy("column", "field").collect():
+            out.setdefault(r.column, []).append(r.field)
+        return out
+
+    def replayed(self, table: str, promoted: dict[str, str]) -> DataFrame:
+        """One table with the values of all names in their columns and the approved fields promoted."""
+        return replay(self.tables[table], promoted, self.layouts[table], self.name_map(table)).drop("_layout")
+
+
 def changes(raw: DataFrame, layouts: dict[str, dict[str, str]] = LAYOUTS) -> DataFrame:
-    """(feed, file_no, table_name, field, change_kind) of each file against the one before it.
+    """(feed, file_no, table_name, field, change_kind) of each file against the one before it, from what was ingested.
 
     change_kind is added, removed, renamed or retyped; a field that is both gives two rows. field is
     the target column if it is one under any name, else the name in the file. The first file of a feed
     and a file without fields give no rows; a file without fields is passed over. Rows without feed,
     table or number are left out.
     """
-    values = field_values(raw.where("feed IS NOT NULL AND table_name IS NOT NULL AND file_no IS NOT NULL"))
-    found = file_layouts(values).persist()  # small beside the records; read four times
-    names = learn_names(values, layouts)
+    held = Ingestion(raw, layouts)
     own = ["feed", "table_name", "file_no"]
-    named = found.join(names, ["table_name", "field"], "left").select(*own, F.coalesce("column", "field").alias("same"), "field", "kind")
-    order = _previous(found.select(*own).distinct()).where("before IS NOT NULL")
-    new = named.join(order, own).select(*own, "same", F.struct("field", "kind").alias("new"), F.lit(None).cast("struct<field:string,kind:string>").alias("old"))
-    old = named.withColumnRenamed("file_no", "before").join(order, ["feed", "table_name", "before"]).select(*own, "same", F.lit(None).cast("struct<field:string,kind:string>").alias("new"), F.struct("field", "kind").alias("old"))
+    named = held.files.join(held.names, ["table_name", "field"], "left").select(*own, F.coalesce("column", "field").alias("same"), "field", "kind")
+    order = _previous(held.files.select(*own).distinct()).where("before IS NOT NULL")
+    none = F.lit(None).cast("struct<field:string,kind:string>")
+    new = named.join(order, own).select(*own, "same", F.struct("field", "kind").alias("new"), none.alias("old"))
+    old = named.withColumnRenamed("file_no", "before").join(order, ["feed", "table_name", "before"]).select(*own, "same", none.alias("new"), F.struct("field", "kind").alias("old"))
     both = new.unionByName(old).groupBy(*own, "same").agg(F.max("new").alias("new"), F.max("old").alias("old"))
     kinds = F.array_compact(F.array(
         F.when(F.col("old").isNull(), "added"), F.when(F.col("new").isNull(), "removed"),
@@ -130,55 +206,53 @@ def changes(raw: DataFrame, layouts: dict[str, dict[str, str]] = LAYOUTS) -> Dat
     return both.select("feed", "file_no", "table_name", F.col("same").alias("field"), F.explode(kinds).alias("change_kind"))
 
 
-def name_map(raw: DataFrame, layouts: dict[str, dict[str, str]] = LAYOUTS) -> dict[str, dict[str, list[str]]]:
-    """table -> column -> its names, the column's own first. Names are few: each stands for a target column."""
-    out = {t: {c: [c] for c in columns} for t, columns in layouts.items()}
-    for r in learn_names(field_values(raw), layouts).orderBy("table_name", "column", "field").collect():
-        out[r.table_name][r.column].append(r.field)
-    return out
+def _typed(value: Column, kind: str) -> Column:
+    """A JSON value in a target type, null if it cannot be cast; lists and objects by their values, 1.0, true and Y as 1."""
+    return text_of(value) if kind == "string" else plain_value(text_of(value)).try_cast(kind)
 
 
-def ingest(raw: DataFrame, table: str, names: dict[str, list[str]], types: dict[str, str]) -> DataFrame:
-    """The records of one table under its target schema, with file, line and `_rescued`.
+def ingest(raw: DataFrame, table: str, types: dict[str, str]) -> DataFrame:
+    """The records of one table under its target schema, with feed, file, line, `_rescued` and `_layout`.
 
-    A value of another JSON type is cast (lists and objects by their values joined with '-', 1.0,
-    true and Y as 1). Unknown fields that are not null, values that cannot be cast and payloads that are no JSON objects
-    (under '_payload') are kept in `_rescued`, a JSON object, null if there is nothing to keep. Whole-row copies count once.
-    No shuffle but for the copies.
+    A value of another JSON type is cast. Unknown fields that are not null, values that cannot be cast and payloads that are no
+    JSON objects (under '_payload') are kept in `_rescued`, a JSON object with the values as they were, null if there is nothing
+    to keep. `_layout` maps every field of the record to its kind. Whole-row copies count once. Of a field that a record has twice the
+    first counts. Each payload is parsed once; no shuffle but for the copies.
     """
     rows = raw.where(F.col("table_name") == table).select("feed", "file_no", "line_no", "payload").distinct()
-    got = F.from_json("payload", "map<string,string>")
-    rows = rows.withColumn("_map", F.when(F.get_json_object("payload", "$").startswith("{"), got))
-    columns, kept = [], []
-    for column, kind in types.items():
-        raw_text = F.coalesce(*[F.col("_map")[n] for n in names[column]])
-        text = F.when(raw_text.rlike(r"^\s*[\[{]"), leaves(raw_text)).otherwise(raw_text)
-        value = text if kind == "string" else plain_value(text).try_cast(kind)
-        columns.append(value.alias(column))
-        stays = raw_text.isNotNull() & value.isNull()
-        kept.append(F.when(stays, F.create_map(F.lit(column), raw_text)))
-    all_names = [n for column in types for n in names[column]]
-    unknown = F.map_filter("_map", lambda k, v: v.isNotNull() & ~k.isin(all_names))
-    empty = F.create_map().cast("map<string,string>")
-    rescued = F.map_concat(F.coalesce(unknown, empty), *[F.coalesce(k, empty) for k in kept], F.when(F.col("_map").isNull() & F.col("payload").isNotNull(), F.create_map(F.lit("_payload"), F.col("payload"))).otherwise(empty))
-    out = rows.select("feed", "file_no", "line_no", *columns, rescued.alias("_kept"))
-    return out.withColumn("_rescued", F.when(F.size("_kept") > 0, F.to_json("_kept"))).drop("_kept")
-
-
-def replay(ingested: DataFrame, promoted: dict[str, str]) -> DataFrame:
-    """Promotes approved fields: their rescued values become typed columns and leave `_rescued`.
-
-    A value that cannot be cast to the approved type stays rescued; a promoted name that is a column already
-    fills its nulls.
+    rows = rows.withColumn("_map", F.from_json("payload", "map<string,variant>"))
+    rows = rows.withColumns({f"_v_{c}": F.try_element_at("_map", F.lit(c)) for c in types})
+    rows = rows.withColumns({f"_t_{c}": _typed(F.col(f"_v_{c}"), kind) for c, kind in types.items()})
+    failed = F.array_compact(F.array(*[F.when(F.col(f"_v_{c}").isNotNull() & F.col(f"_t_{c}").isNull(), F.lit(c)) for c in types]))
+    known = list(types)
+    kept = F.map_filter("_map", lambda k, v: ~F.is_variant_null(v) & (~k.isin(known) | F.array_contains(F.col("_failed"), k)))
+    broken = F.when(F.col("_map").isNull() & F.col("payload").isNotNull(), F.to_json(F.create_map(F.lit("_payload"), F.col("payload"))))
+    rows = rows.withColumn("_failed", failed).withColumn("_kept", kept)
+    layout = F.expr(f"transform_values(_map, (k, v) -> {kind_of('v')})")
+    return rows.select(
+        "feed", "file_no", "line_no", *[F.col(f"_t_{c}").alias(c) for c in types],
+        F.coalesce(F.when(F.size("_kept") > 0, F.to_json("_kept")), broken).alias("_rescued"), layout.alias("_layout"),
+    )
+
+
+def replay(ingested: DataFrame, promoted: dict[str, str], types: dict[str, str] | None = None, names: dict[str, list[str]] | None = None) -> DataFrame:
+    """Replays rescued values: those of approved fields become typed columns, those under other names of a column fill it.
+
+    promoted: name -> type. types, names: column -> type and column -> its other names. Replayed values leave `_rescued`; a value that cannot
+    be cast stays there; a promoted name that is a column already fills its nulls.
     """
-    kept = F.from_json("_rescued", "map<string,string>")
-    rows = ingested.withColumn("_kept", kept)
-    outs = {}
+    rows = ingested.withColumn("_kept", F.from_json("_rescued", "map<string,variant>"))
+    sources = {c: [(n, (types or {})[c]) for n in others] for c, others in (names or {}).items()}
     for name, kind in promoted.items():
-        text = F.col("_kept")[name]
-        value = text if kind == "string" else F.when(F.lit(kind) == "boolean", text).otherwise(plain_value(text)).try_cast(kind)
-        outs[name] = F.coalesce(F.col(name), value) if name in ingested.columns else value
-    done = F.array_compact(F.array(*[F.when(F.col("_kept")[n].isNotNull() & v.isNotNull(), n) for n, v in outs.items()]))
-    rows = rows.withColumn("_done", done).withColumns(outs)
+        sources.setdefault(name, []).append((name, kind))
+    done, outs = [], {}
+    for column, held in sources.items():
+        values = []
+        for name, kind in held:
+            raw_value = F.try_element_at("_kept", F.lit(name))
+            values.append(text_of(raw_value).try_cast("boolean") if kind == "boolean" else _typed(raw_value, kind))
+            done.append(F.when(raw_value.isNotNull() & values[-1].isNotNull(), F.lit(name)))
+        outs[column] = F.coalesce(*([F.col(column)] if column in ingested.columns else []), *values)
+    rows = rows.withColumn("_done", F.array_compact(F.array(*done)) if done else F.array().cast("array<string>")).withColumns(outs)
     left = F.map_filter("_kept", lambda k, v: ~F.array_contains(F.col("_done"), k))
-    return rows.withColumn("_rescued", F.when(F.size(left) > 0, F.to_json(left))).drop("_kept", "_done")
+    return rows.withColumn("_left", left).withColumn("_rescued", F.when(F.size("_left") > 0, F.to_json("_left"))).drop("_kept", "_done", "_left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.operators import drift, orphans_sql, references
+from duelframe.operators import drift, drift_sql, orphans_sql, references
 from duelframe.session import table
 
 #: Fields of the slot feed that were approved for typed columns.
@@ -27,8 +27,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ingested(spark: SparkSession, d: str, name: str) -> DataFrame:
-    raw = table(spark, d, "raw_record")
-    return drift.replay(drift.ingest(raw, name, drift.name_map(raw)[name], drift.LAYOUTS[name]), APPROVED)
+    return drift.Ingestion(table(spark, d, "raw_record")).replayed(name, APPROVED)
 
 
 def p2_leads(spark: SparkSession, d: str) -> DataFrame:
@@ -46,4 +45,4 @@ def p2_change_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_leads, p2_slots, p2_change_counts)
 }
-SQL = {"p1_found": orphans_sql.FOUND, "p1_counts": orphans_sql.COUNTS}
+SQL = {"p1_found": orphans_sql.FOUND, "p1_counts": orphans_sql.COUNTS, "p2_found": drift_sql.FOUND, "p2_change_counts": drift_sql.COUNTS}

@@ -31,3 +31,17 @@ o AS (
 
 FOUND = _KEYED + "SELECT * FROM o"
 COUNTS = _KEYED + "SELECT table_name, field, period, reason, count(*) AS orphans FROM o GROUP BY 1, 2, 3, 4"
+KEYS = f"""
+WITH ref AS (
+  SELECT 'a' AS level, 'battle' AS space, nullif(lower(trim(battle_id, {BLANKS})), '') AS k1, NULL AS k2 FROM battle_team_slot
+  UNION SELECT 'b', 'battle', nullif(lower(trim(battle_id, {BLANKS})), ''), coalesce(nullif(lower(trim(player_side, {BLANKS})), ''), '?none') FROM battle_team_slot
+  UNION SELECT 'a', 'user', nullif(lower(trim(username, {BLANKS})), ''), NULL FROM battle_players),
+rec AS (
+  SELECT 'a' AS level, 'battle' AS space, nullif(lower(trim(battle_id, {BLANKS})), '') AS k1, NULL AS k2, loaded_at, deleted_at FROM battle
+  UNION ALL SELECT 'b', 'battle', nullif(lower(trim(battle_id, {BLANKS})), ''), nullif(lower(trim(side, {BLANKS})), ''), loaded_at, NULL FROM battle_players
+  UNION ALL SELECT 'a', 'user', nullif(lower(trim(username, {BLANKS})), ''), NULL, loaded_at, deleted_at FROM players),
+st AS (
+  SELECT ref.level, ref.space, ref.k1, ref.k2, count(rec.k1) AS records, count(*) FILTER (WHERE rec.loaded_at IS NOT NULL AND rec.deleted_at IS NULL) AS alive
+  FROM ref LEFT JOIN rec ON ref.level = rec.level AND ref.space = rec.space AND ref.k1 = rec.k1 AND ref.k2 IS NOT DISTINCT FROM rec.k2
+  WHERE ref.k1 IS NOT NULL AND ref.k2 IS DISTINCT FROM '?none' GROUP BY ALL)
+SELECT level, space, k1, k2, CASE WHEN records = 0 THEN 'missing' ELSE 'deleted' END AS reason FROM st WHERE alive = 0"""

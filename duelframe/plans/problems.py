@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelframe.operators import drift, drift_sql, orphans_sql, references
-from duelframe.session import table
+from duelframe.session import Scratch, table
 
 #: Fields of the slot feed that were approved for typed columns.
 APPROVED = {"level": "int", "gender": "string", "is_shiny": "boolean", "nickname": "string", "rev": "int"}
@@ -22,6 +22,13 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_counts(p1_found(spark, d))
 
 
+def p1_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The keys that are referred to and do not exist now, from the counts that the ledger keeps."""
+    ledger = references.ReferenceLedger(spark, f"{Scratch(spark, 'p1').root}/ledger")
+    ledger.advance(references.contest_deltas(*(table(spark, d, t) for t in ("battle_team_slot", "battle_players", "battle", "players"))), "all")
+    return ledger.orphans().select("level", "space", "k1", "k2", "reason")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(table(spark, d, "raw_record"))
 
@@ -43,6 +50,6 @@ def p2_change_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_leads, p2_slots, p2_change_counts)
+    f.__name__: f for f in (p1_found, p1_counts, p1_keys, p2_found, p2_leads, p2_slots, p2_change_counts)
 }
-SQL = {"p1_found": orphans_sql.FOUND, "p1_counts": orphans_sql.COUNTS, "p2_found": drift_sql.FOUND, "p2_change_counts": drift_sql.COUNTS}
+SQL = {"p1_found": orphans_sql.FOUND, "p1_counts": orphans_sql.COUNTS, "p1_keys": orphans_sql.KEYS, "p2_found": drift_sql.FOUND, "p2_change_counts": drift_sql.COUNTS}

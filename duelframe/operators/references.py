@@ -176,7 +176,7 @@ class ReferenceLedger:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
             return None
-        rows = self.spark.read.parquet(self.path).where(F.col("step") != (without or ""))
+        rows = self.spark.read.parquet(self.path).where(F.col("step") != f"of-{without}")
         return rows.groupBy("level", "space", "k1", "k2").agg(*[F.sum(c).alias(c) for c in ("refers", "exists", "timed", "loads")])
 
     def advance(self, deltas: DataFrame, step: str, hot: list[int] | None = ()) -> DataFrame:
@@ -193,7 +193,7 @@ class ReferenceLedger:
             )
             part = part.select(F.lit(level).alias("level"), "space", "k1", (F.col("k2") if level == "b" else F.lit(None).cast("string")).alias("k2"), "refers", "exists", "timed", "loads")
             parts = part if parts is None else parts.unionByName(part)
-        parts.write.mode("overwrite").parquet(f"{self.path}/step={step}")
+        parts.write.mode("overwrite").parquet(f"{self.path}/step=of-{step}")
         return judged
 
     def orphans(self) -> DataFrame:
@@ -203,7 +203,7 @@ class ReferenceLedger:
     def settled(self, step: str) -> DataFrame:
         """Keys that had references and no record before a batch and got one in it: their missing references become late."""
         keys = ["level", "space", "k1", "k2"]
-        own = self.spark.read.parquet(self.path).where((F.col("step") == step) & (F.col("loads") > 0)).select(*keys)
+        own = self.spark.read.parquet(self.path).where((F.col("step") == f"of-{step}") & (F.col("loads") > 0)).select(*keys)
         before = self.sums(step).where("refers > 0 AND loads = 0").select(*[F.col(k).alias(f"b_{k}") for k in keys])
         same = F.lit(True)
         for k in keys:

@@ -180,7 +180,7 @@ class ReplayIndex:
     def append(self, texts: DataFrame, step: str) -> None:
         """Add (kind, text, owner, name, fp) entries; files are sorted by block, so that row groups can be passed over."""
         rows = block_tables(texts, self.blocks).select("kind", "text", "owner", "name", "fp", "rotation", "block")
-        rows.sortWithinPartitions("rotation", "block").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/step={step}")
+        rows.sortWithinPartitions("rotation", "block").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/step=of-{step}")
 
     def load_history(self, battles: DataFrame) -> None:
         """Index the accepted records, once."""

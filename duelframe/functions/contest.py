@@ -89,3 +89,27 @@ def slug(name: Column) -> Column:
     plain = F.pandas_udf(_ascii, StringType())(name)
     text = F.regexp_replace(F.regexp_replace(F.lower(plain), r"^\s+|\s+$", ""), "[.'’:%]", "")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\s_]+", "-"), "-{2,}", "-"), "^-+|-+$", "")
+
+
+def ability_slug(name: Column) -> Column:
+    """Ability in lower case without blanks at the ends, blanks and _ as '-'; '' for null."""
+    return F.translate(F.lower(F.btrim(F.coalesce(name, F.lit("")))), " _", "--")
+
+
+def id_string(name: Column) -> Column:
+    """Only the letters a-z and digits of a name in lower case."""
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+
+
+def id_of_url(url: Column) -> Column:
+    """The number after the last '/' of a url, whatever slashes end it; null where there is none."""
+    return F.regexp_extract(url, r"(?:^|/)(\d+)/*$", 1).try_cast("int")
+
+
+def english_text(entries: Column, language: str = "en") -> Column:
+    """The text of the first entry of a language, '' where that entry has none, null without such an entry.
+
+    entries: an array of (language, short_effect).
+    """
+    first = F.get(F.filter(entries, lambda e: e["language"] == language), F.lit(0))
+    return F.when(first.isNotNull(), F.coalesce(first["short_effect"], F.lit("")))

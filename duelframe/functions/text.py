@@ -20,3 +20,8 @@ def trimmed(col: Column | str) -> Column:
 def key(col: Column | str) -> Column:
     """Comparison form of a key: lower case, trimmed, null where blank."""
     return F.nullif(F.lower(trimmed(col)), F.lit(""))
+
+
+def bare(text: Column) -> Column:
+    """Without white space of any kind at the ends; zero-width characters stay."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -184,3 +184,71 @@ def first_per_id(rows: DataFrame, id_col: str, order: list[Column]) -> tuple[Dat
     """Rows with the first of each id, and the number of skipped duplicates per id."""
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(*order)))
     return ranked.where("_r = 1").drop("_r"), ranked.where("_r > 1").groupBy(id_col).agg(F.count(F.lit(1)).alias("skipped_duplicate"))
+
+
+def without_edge_contests(rows: DataFrame, group: str, order: list[Column], id_col: str = "battle_id", at_least: int = 20) -> DataFrame:
+    """Rows without the first and the last contest of each group of more than `at_least` contests (J16): a group that was cut out of a larger table may hold them in part.
+
+    order: order of the rows inside a group; groups are row groups or files, so bounded.
+    """
+    key = F.struct(*order)
+    ends = rows.groupBy(group).agg(F.countDistinct(id_col).alias("n"), F.min_by(id_col, key).alias("low"), F.max_by(id_col, key).alias("high")).where(F.col("n") > at_least)
+    edge = ends.select(group, F.explode(F.array_distinct(F.array("low", "high"))).alias(id_col))
+    return rows.join(edge, [group, id_col], "left_anti")
+
+
+def of_contests(rows: DataFrame, ids: DataFrame, id_col: str = "battle_id") -> DataFrame:
+    """Rows of the listed contests (S5); the list may be of any size."""
+    return rows.join(ids.select(id_col).distinct(), id_col, "left_semi")
+
+
+def rows_per_contest(rows: DataFrame, id_col: str = "battle_id") -> DataFrame:
+    """(rows, contests): how many rows the contests have (Q6); rows without an id are one contest without id."""
+    return rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).groupBy("rows").agg(F.count(F.lit(1)).alias("contests"))
+
+
+def odd_ratings(players: DataFrame, below: float = 800) -> DataFrame:
+    """(ratings, low): known ratings and those too low to be ratings (Q6)."""
+    return players.agg(F.count("rating_before").alias("ratings"), F.count_if(F.col("rating_before") < below).alias("low"))
+
+
+def coverage_gate(covered: DataFrame, least: float = 0.99) -> DataFrame:
+    """The side coverage with whether it is enough to go on (Q4)."""
+    return covered.withColumn("passes", F.col("share") >= least)
+
+
+def first_rows(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group, such as a file, in an order (O8); 0 for all."""
+    if not n:
+        return rows
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def first_contests(rows: DataFrame, n: int, id_col: str = "battle_id") -> DataFrame:
+    """Rows of the first n contests in order of their ids (O8); rows without an id are of none."""
+    return of_contests(rows, rows.select(id_col).dropna().distinct().orderBy(id_col).limit(n), id_col)
+
+
+def invariants(usage: DataFrame, pairs: DataFrame, matchups: DataFrame, events: DataFrame) -> DataFrame:
+    """(invariant, value, holds): what must be true of sound aggregate tables (Q8).
+
+    The bands of a usage row add up to 'all'; win and sent-out counts do not exceed appearances; a pair stands in no more
+    rosters than either member; match-ups are antisymmetric; events do not exceed those sent out.
+    """
+    bands = usage.groupBy("regulation", "species_id", "poke_id", "form_basis").agg(
+        F.sum(F.when(F.col("rating_band") == "all", F.col("appearances")).otherwise(0)).alias("whole"), F.sum(F.when(F.col("rating_band") != "all", F.col("appearances")).otherwise(0)).alias("parts")
+    )
+    mirror = matchups.select("regulation", "rating_band", F.col("species_a_id").alias("species_b_id"), F.col("species_b_id").alias("species_a_id"), F.col("battles").alias("m"), F.col("wins").alias("w"))
+    faced = matchups.where("rating_band = 'all'").join(mirror, ["regulation", "rating_band", "species_a_id", "species_b_id"], "left")
+    broken = {
+        "bands add up to all": bands.where("whole <> parts"),
+        "no more wins, sent out or leads than appearances": usage.where("wins > appearances OR sent_out > appearances OR leads > appearances OR sent_out_wins > sent_out"),
+        "no more rosters with a pair than with a member": pairs.where("teams_both > teams_a OR teams_both > teams_b OR wins_both > teams_both"),
+        "match-ups are antisymmetric": faced.where("m IS NULL OR m <> battles OR wins + w <> battles"),
+        "no more events than sent out with one": events.where("event_wins > event_count"),
+    }
+    out = None
+    for name, rows in broken.items():
+        one = rows.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("invariant"), "value", (F.col("value") == 0).alias("holds"))
+        out = one if out is None else out.unionByName(one)
+    return out

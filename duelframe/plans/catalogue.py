@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from duelframe.functions import contest as X
 from duelframe.operators import contest as C
+from duelframe.operators import diagnosis as D
 from duelframe.operators import eda as E
 from duelframe.operators import quality as Q
 from duelframe.operators import similarity
@@ -166,6 +167,19 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "first_per_id": lambda t: Q.first_per_id(t.battle, "battle_id", [F.col("loaded_at"), F.col("turn_count")])[1],
     "item_similarity": lambda t: similarity.most_similar(similarity.train(similarity.corpus(t.slots)), "Nioholkrir", 20),
     **{query: log_table(name) for query, name in LOG_TABLES.items()},
+    "log_complete": lambda t: t.logs.select("battle_id", D.is_complete(F.col("log")).alias("complete")),
+    "masked_resolvability": lambda t: D.resolvability(D.masked_slots(t.logs)),
+    "detail_frequency": lambda t: D.detail_frequency(t.logs, "klo"),
+    "packed_team": lambda t: t.logs.select("battle_id", F.explode(D._pairs(D.SHOWN)).alias("s")).select("battle_id", "s.side", F.array_join(D.packed_species(F.col("s.text")), ";").alias("species")),
+    "edge_contests": lambda t: Q.without_edge_contests(t.slots.where("battle_id IS NOT NULL").withColumn("month", F.date_format("loaded_at", "yyyy-MM")), "month", [F.col("loaded_at"), F.col("battle_id")]).groupBy("month").agg(F.count(F.lit(1)).alias("rows")),
+    "listed_contests": lambda t: Q.of_contests(t.slots, t.battle.where("turn_count = 0")).groupBy("battle_id").agg(F.count(F.lit(1)).alias("rows")),
+    "rows_per_contest": lambda t: Q.rows_per_contest(t.players),
+    "odd_ratings": lambda t: Q.odd_ratings(t.players, 1000),
+    "coverage_gate": lambda t: Q.coverage_gate(Q.side_coverage(t.slots, t.players)),
+    "first_rows": lambda t: Q.first_rows(t.battle.select("format_id", "battle_id", "loaded_at").distinct(), "format_id", [F.col("loaded_at"), F.col("battle_id")], 3),
+    "first_contests": lambda t: Q.first_contests(t.slots.where("battle_id IS NOT NULL"), 50).groupBy("battle_id").agg(F.count(F.lit(1)).alias("rows")),
+    "invariants": lambda t: Q.invariants(t.usage, t.pairs(), t.matchups(), t.summary).where("NOT holds").select("invariant"),
+    "item_corpus": lambda t: similarity.corpus(t.slots).select("battle_id", "player_side", F.array_join("team", ";").alias("team")),
     "rating_histogram": lambda t: t.players.where("rating_before IS NOT NULL").groupBy((F.floor(F.col("rating_before") / 100) * 100).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("sides")),
 }
 

@@ -203,4 +203,22 @@ SQL: dict[str, str] = {
     "id_collisions": "SELECT count(*) AS rows, count(DISTINCT battle_id) AS ids, count(DISTINCT md5(left(replay_path, 500))) AS head_digests FROM battle",
     "first_per_id": "SELECT battle_id, count(*) - 1 AS skipped_duplicate FROM battle GROUP BY 1 HAVING count(*) > 1",
     "rating_histogram": "SELECT (rating_before // 100 * 100)::INTEGER AS bucket, count(*) AS sides FROM battle_players WHERE rating_before IS NOT NULL GROUP BY 1",
+    "edge_contests": """
+WITH r AS (SELECT *, strftime(loaded_at, '%Y-%m') AS month FROM battle_team_slot WHERE battle_id IS NOT NULL),
+e AS (SELECT month, count(DISTINCT battle_id) AS n, arg_min(battle_id, (loaded_at, battle_id)) AS low, arg_max(battle_id, (loaded_at, battle_id)) AS high FROM r GROUP BY month)
+SELECT r.month, count(*) AS rows FROM r JOIN e ON r.month IS NOT DISTINCT FROM e.month WHERE NOT (e.n > 20 AND r.battle_id IN (e.low, e.high)) GROUP BY r.month""",
+    "listed_contests": "SELECT battle_id, count(*) AS rows FROM battle_team_slot WHERE battle_id IN (SELECT battle_id FROM battle WHERE turn_count = 0) GROUP BY battle_id",
+    "rows_per_contest": "SELECT rows, count(*) AS contests FROM (SELECT battle_id, count(*) AS rows FROM battle_players GROUP BY battle_id) GROUP BY rows",
+    "odd_ratings": "SELECT count(rating_before) AS ratings, count(*) FILTER (WHERE rating_before < 1000) AS low FROM battle_players",
+    "coverage_gate": """
+WITH h AS (SELECT DISTINCT battle_id, player_side AS side FROM battle_team_slot), k AS (SELECT DISTINCT battle_id, side FROM battle_players),
+c AS (SELECT count(*) AS sides, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM k WHERE k.battle_id IS NOT DISTINCT FROM h.battle_id AND k.side IS NOT DISTINCT FROM h.side)) AS covered FROM h)
+SELECT sides, covered, round(covered / sides, 9) AS share, covered / sides >= 0.99 AS passes FROM c""",
+    "first_rows": """
+SELECT format_id, battle_id, loaded_at FROM (SELECT *, row_number() OVER (PARTITION BY format_id ORDER BY loaded_at NULLS FIRST, battle_id NULLS FIRST) AS n FROM (SELECT DISTINCT format_id, battle_id, loaded_at FROM battle)) WHERE n <= 3""",
+    "first_contests": "SELECT battle_id, count(*) AS rows FROM battle_team_slot WHERE battle_id IN (SELECT DISTINCT battle_id FROM battle_team_slot WHERE battle_id IS NOT NULL ORDER BY battle_id LIMIT 50) GROUP BY battle_id",
+    "invariants": "SELECT 'none' AS invariant WHERE false",
+    "item_corpus": """
+SELECT battle_id, player_side, string_agg(pokemon_name, ';' ORDER BY slot_no NULLS FIRST, pokemon_name) AS team
+FROM (SELECT DISTINCT battle_id, player_side, slot_no, pokemon_name FROM battle_team_slot WHERE pokemon_name IS NOT NULL AND battle_id IS NOT NULL) GROUP BY battle_id, player_side""",
 }

@@ -19,7 +19,7 @@ def _hp(text: str) -> str:
     return f"CASE WHEN {t} IN ('0 fnt', 'fnt', '0') THEN 0.0 WHEN {part(2)} = 0 THEN 0.0 WHEN {part(2)} IS NOT NULL THEN round_even({part(1)} / {part(2)} * 100, 2) ELSE try_cast(nullif(regexp_extract({t}, '^(\\d+(?:\\.\\d+)?)$', 1), '') AS DOUBLE) END"
 
 
-_LOGS = COMPOSE.format(joined="string_agg(line, chr(10) ORDER BY part, k, line)", **{t: t for t in TABLES})
+_LOGS = COMPOSE.format(joined="string_agg(line, chr(10) ORDER BY part, k, line)", packed="string_agg(mon, ']' ORDER BY slot_no, mon)", **{t: t for t in TABLES})
 _STATE = f"""
 WITH {_LOGS},
 ln AS (
@@ -91,7 +91,36 @@ _ACTIVE = ", ".join(f"coalesce({c}.nick, '') AS {n}" for c, n in (("x1", "p1_lef
 _ACTIVE_JOINS = " ".join(f"ASOF LEFT JOIN (SELECT * FROM ent WHERE place = '{p}') {c} ON e.battle_id = {c}.battle_id AND e.seq > {c}.seq" for c, p in (("x1", "p1a"), ("x2", "p1b"), ("x3", "p2a"), ("x4", "p2b")))
 _FITS = "CASE WHEN ends_with(r.pokemon_name, '-*') THEN lower({s}) = lower(left(r.pokemon_name, -2)) OR starts_with(lower({s}), lower(left(r.pokemon_name, -2)) || '-') ELSE lower({s}) = lower(r.pokemon_name) END"
 
+_BASE = "regexp_replace(lower(split_part(p, '-', 1)), '[^a-z0-9]', '', 'g')"
+_TOLD = f"""
+  SELECT battle_id, side, count(*) FILTER (WHERE hits <> 1) = 0 AS told, max(has) AS has FROM (
+    SELECT h.battle_id, s.side, p, len(string_split(h.head, '|showteam|' || s.side || '|')) > 1 AS has,
+      len(list_filter(list_transform(string_split(regexp_extract(h.head, '(?m)^\\|showteam\\|' || s.side || '\\|(.*)$', 1), ']'), lambda m: split_part(m, '|', 1)),
+        lambda n: regexp_replace(lower(n), '[^a-z0-9]', '', 'g') = {_BASE} OR list_contains(list_transform(string_split(n, '-'), lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')), {_BASE}))) AS hits
+    FROM heads h CROSS JOIN (VALUES ('p1'), ('p2')) AS s(side), unnest(regexp_extract_all(h.head, '\\|poke\\|' || s.side || '\\|([^,|]+)', 1)) AS u(p)) GROUP BY ALL"""
+
 SQL = {
+    "log_complete": "WITH " + _LOGS + f""",
+heads AS (SELECT battle_id, log, split_part(log, chr(10) || '|' || chr(10), 1) AS head FROM logs),
+told AS ({_TOLD})
+SELECT h.battle_id, coalesce(contains(log, '|turn|1') AND (SELECT count(*) FROM told t WHERE t.battle_id = h.battle_id AND t.told AND t.has) = 2
+  AND len(regexp_extract_all(log, '\\|poke\\|p1\\|')) = 6 AND len(regexp_extract_all(log, '\\|poke\\|p2\\|')) = 6 AND NOT contains(log, 'Zoroark') AND NOT contains(log, 'Zorua'), false) AS complete FROM heads h""",
+    "masked_resolvability": "WITH " + _LOGS + """,
+mk AS (SELECT battle_id, log, unnest(regexp_extract_all(log, '\\|poke\\|(p[12])\\|([^,|]+?)-\\*', 1)) AS side, unnest(regexp_extract_all(log, '\\|poke\\|(p[12])\\|([^,|]+?)-\\*', 2)) AS base FROM logs),
+d AS (
+  SELECT battle_id, base, list_filter(list_transform(string_split(regexp_extract_all(log, '(?m)^\\|showteam\\|' || side || '\\|(.*)$', 1)[-1], ']'),
+      lambda m: trim(CASE WHEN split_part(m, '|', 2) <> '' THEN split_part(m, '|', 2) ELSE split_part(m, '|', 1) END, """ + _WHITE + """)), lambda s: s = base OR starts_with(s, base || '-')) AS team,
+    list_filter(regexp_extract_all(log, '\\|(?:switch|drag|detailschange|-formechange)\\|' || side || '[ab]: [^|]*\\|([^,|]+)', 1), lambda s: s = base OR starts_with(s, base || '-')) AS events FROM mk)
+SELECT base, count(*) AS slots, count(DISTINCT battle_id) AS logs, count(*) FILTER (WHERE len(team) > 0) AS by_team, count(*) FILTER (WHERE len(events) > 0) AS by_events,
+  count(*) FILTER (WHERE coalesce(len(team), 0) = 0 AND len(events) = 0) AS unresolved FROM d GROUP BY base""",
+    "detail_frequency": "WITH " + _LOGS + """,
+d AS (
+  SELECT 'poke' AS kind, unnest(regexp_extract_all(log, '(?m)^\\|poke\\|p[12]\\|([^|\n]+)', 1)) AS detail FROM logs
+  UNION ALL SELECT 'switch', unnest(regexp_extract_all(log, '(?m)^\\|(?:switch|drag|detailschange|replace)\\|[^|]*\\|([^|\n]+)', 1)) FROM logs)
+SELECT kind, trim(detail, """ + _WHITE + """) AS detail, count(*) AS n FROM d WHERE contains(lower(detail), 'klo') GROUP BY ALL""",
+    "packed_team": "WITH " + _LOGS + """,
+shown AS (SELECT battle_id, unnest(regexp_extract_all(log, '(?m)^\\|showteam\\|(p[12])\\|(.*)$', 1)) AS side, unnest(regexp_extract_all(log, '(?m)^\\|showteam\\|(p[12])\\|(.*)$', 2)) AS body FROM logs)
+SELECT battle_id, side, array_to_string(list_transform(string_split(body, ']'), lambda m: trim(CASE WHEN split_part(m, '|', 2) <> '' THEN split_part(m, '|', 2) ELSE split_part(m, '|', 1) END, """ + _WHITE + """)), ';') AS species FROM shown""",
     "log_battles": _STATE + f"""
 SELECT l.battle_id, coalesce(f.format, '') AS format, coalesce(regexp_replace(lower(f.format), '[\\[\\]\\s]+', '', 'g'), '') AS format_id, coalesce(f.said, CAST(round_even(l.uploadtime, 0) AS BIGINT)) AS upload_time,
   coalesce(nullif(f.rated, 0), CAST(round_even(l.rating, 0) AS INTEGER)) AS rating, w.winner_name, l.replay_path, coalesce(f.turns, 0) AS turn_count

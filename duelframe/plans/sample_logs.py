@@ -39,7 +39,7 @@ _TURN_LINES = (
 
 _LINES = "\n  UNION ALL ".join(f"SELECT battle_id, 10 + t, {k}, {text} FROM t WHERE {when}" for k, when, text in _TURN_LINES)
 
-#: Common table expressions up to `logs` (battle_id, replay_path, uploadtime, rating, log); {name} stands for tables, {joined} for the text of the lines in order.
+#: Common table expressions up to `logs` (battle_id, replay_path, uploadtime, rating, log); {name} stands for tables, {joined} and {packed} for the text of the lines and of the members in order.
 COMPOSE = f"""
 b AS (
   SELECT battle_id, max(format) AS format, max(upload_time) AS upload_time, max(winner_name) AS winner, max(rating) AS rating, max(replay_path) AS replay_path,
@@ -56,6 +56,9 @@ n AS (
     max(CASE WHEN side = 'p1' AND letter = 'a' THEN species END) AS sa
   FROM l GROUP BY battle_id),
 t AS (SELECT b.battle_id, s.t, n.a, n.b, n.c, n.d, n.sa FROM b JOIN n ON b.battle_id = n.battle_id JOIN (VALUES {_TURNS}) AS s(t) ON s.t <= b.turns),
+sl AS (
+  SELECT DISTINCT battle_id, lower(trim(player_side)) AS side, CAST(slot_no AS INT) AS slot_no, CASE WHEN slot_no % 2 = 0 THEN pokemon_name || '||item' ELSE replace(pokemon_name, '-*', '') || '|' || coalesce(species_observed, '') || '|item' END AS mon
+  FROM {{battle_team_slot}} WHERE battle_id IS NOT NULL AND pokemon_name IS NOT NULL AND slot_no IS NOT NULL AND lower(trim(player_side)) IN ('p1', 'p2')),
 lines AS (
   SELECT battle_id, 0 AS part, 0 AS k, '|t:|' || CAST(upload_time AS STRING) AS line FROM b WHERE upload_time % 2 = 0
   UNION ALL SELECT battle_id, 0, 1, '|tier|' || format FROM b WHERE format IS NOT NULL
@@ -66,6 +69,8 @@ lines AS (
     FROM {{battle_team_slot}} WHERE battle_id IS NOT NULL AND pokemon_name IS NOT NULL AND slot_no IS NOT NULL AND lower(trim(player_side)) IN ('p1', 'p2')
   UNION ALL SELECT battle_id, 2, 9, '|poke|p1' FROM b
   UNION ALL SELECT battle_id, 2, 10, '|poke|p7|Stray|' FROM b WHERE turns = 11
+  UNION ALL SELECT battle_id, 2, 20, '|showteam|' || side || '|' || {{packed}} FROM sl WHERE slot_no % 5 <> 4 GROUP BY battle_id, side
+  UNION ALL SELECT battle_id, 2, 21, '|' FROM b WHERE turns <> 9
   UNION ALL SELECT battle_id, 3, 0, '|teampreview|4' FROM b
   UNION ALL SELECT battle_id, 4, 0, '|start' FROM b WHERE turns <> 10
   UNION ALL SELECT battle_id, 5, 0, '|switch|' || side || letter || ': ' || nick || '|' || species || ', L50, M|100/100' FROM l
@@ -84,5 +89,6 @@ TABLES = ("battle", "battle_players", "battle_leads", "battle_team_slot")
 def composed_logs(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """(battle_id, replay_path, uploadtime, rating, log)."""
     text = "array_join(transform(array_sort(collect_list(struct(part, k, line))), x -> x.line), chr(10))"
+    packed = "array_join(transform(array_sort(collect_list(struct(slot_no, mon))), x -> x.mon), ']')"
     names = {t: "{" + t + "}" for t in TABLES}
-    return spark.sql("WITH " + COMPOSE.format(joined=text, **names) + "SELECT * FROM logs", **{t: tables[t] for t in TABLES})
+    return spark.sql("WITH " + COMPOSE.format(joined=text, packed=packed, **names) + "SELECT * FROM logs", **{t: tables[t] for t in TABLES})

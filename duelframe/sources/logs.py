@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.functions.text import bare
+
 PLACES = ("p1a", "p1b", "p2a", "p2b")
 SIDES = ("p1", "p2")
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
@@ -30,28 +32,23 @@ KO_TYPES = (
 META = (("uploadtime", "upload_time", True), ("rating", "rating", True), ("formatid", "format_id", False), ("format", "format", False))
 
 
-def _bare(text: Column) -> Column:
-    """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
 def _name(raw: Column) -> Column:
     """Nickname after the place, without a gender or shiny tail."""
     after = F.when(raw.contains(": "), F.regexp_replace(raw, r"^.*?: ", "")).otherwise(raw)
-    return _bare(F.regexp_replace(after, r"(?i),\s*(M|F|shiny|shiny M|shiny F)$", ""))
+    return bare(F.regexp_replace(after, r"(?i),\s*(M|F|shiny|shiny M|shiny F)$", ""))
 
 
 def _species(details: Column) -> Column:
-    return _bare(F.substring_index(details, ",", 1))
+    return bare(F.substring_index(details, ",", 1))
 
 
 def _place(raw: Column) -> Column:
-    return _bare(F.substring_index(raw, ":", 1))
+    return bare(F.substring_index(raw, ":", 1))
 
 
 def hp_share(text: Column) -> Column:
     """Health in percent: a/b, a bare number, or 0 for fainted; else null."""
-    t = _bare(text)
+    t = bare(text)
     a, b = (F.regexp_extract(t, r"^(\d+(?:\.\d+)?)/(\d+(?:\.\d+)?)", i).try_cast("double") for i in (1, 2))
     whole = F.regexp_extract(t, r"^(\d+(?:\.\d+)?)$", 1).try_cast("double")
     return F.when(t.isin("0 fnt", "fnt", "0"), 0.0).when(b == 0, 0.0).when(b.isNotNull(), F.bround(a / b * 100, 2)).otherwise(whole)
@@ -88,15 +85,15 @@ def valid_logs(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def line_table(logs: DataFrame) -> DataFrame:
     """(battle_id, seq, token, a): the lines that matter, a holds the fields (L1)."""
-    lines = logs.select("battle_id", F.posexplode(F.split("log", LINE_BREAK)).alias("seq", "raw")).select("battle_id", "seq", _bare(F.col("raw")).alias("line"))
+    lines = logs.select("battle_id", F.posexplode(F.split("log", LINE_BREAK)).alias("seq", "raw")).select("battle_id", "seq", bare(F.col("raw")).alias("line"))
     lines = lines.where(F.col("line").startswith("|")).select("battle_id", "seq", F.split("line", "\\|").alias("a"))
     return lines.withColumn("token", F.get("a", F.lit(1))).where(F.col("token").isin(*TOKENS))
 
 
 def _tag(name: str, start: int) -> Column:
     """Text after the last field from `start` on that begins with a tag such as [of]; null without one."""
-    fields = F.filter(F.transform(F.slice("a", start, F.greatest(F.size("a"), F.lit(1))), _bare), lambda x: x.startswith(name))
-    return _bare(F.replace(F.try_element_at(fields, F.lit(-1)), F.lit(name), F.lit("")))
+    fields = F.filter(F.transform(F.slice("a", start, F.greatest(F.size("a"), F.lit(1))), bare), lambda x: x.startswith(name))
+    return bare(F.replace(F.try_element_at(fields, F.lit(-1)), F.lit(name), F.lit("")))
 
 
 def state_table(logs: DataFrame) -> DataFrame:
@@ -114,7 +111,7 @@ def state_table(logs: DataFrame) -> DataFrame:
     step = F.when(tok.isin("start", "turn"), "battle").when(tok == "teampreview", "preview").when(tok.isin("win", "tie"), "post")
     rows = line_table(logs).withColumns({
         "phase": F.coalesce(F.last(step, True).over(before), F.lit("header")),
-        "turn": F.coalesce(F.last(F.when(tok == "turn", _bare(arg(2)).try_cast("int")), True).over(upto), F.lit(0)),
+        "turn": F.coalesce(F.last(F.when(tok == "turn", bare(arg(2)).try_cast("int")), True).over(upto), F.lit(0)),
     })
     live, head = F.col("phase") == "battle", F.col("phase").isin("header", "preview")
     entry = (size >= 4) & ((tok.isin("switch", "drag") & live) | ((tok == "switch") & (F.col("phase") == "preview")))
@@ -125,7 +122,7 @@ def state_table(logs: DataFrame) -> DataFrame:
         "hp_new": F.when(F.col("entry"), hp_share(arg(4))).when(live & tok.isin("-damage", "-heal") & (size >= 4), hp_share(arg(3))),
         "sp_new": F.when(F.col("entry") | change, _species(arg(3))),
         "mv_new": F.when(live & (tok == "move") & (size >= 5), arg(3)),
-        "user": F.when(head & (tok == "player") & (size >= 4), F.nullif(_bare(arg(3)), F.lit(""))),
+        "user": F.when(head & (tok == "player") & (size >= 4), F.nullif(bare(arg(3)), F.lit(""))),
     })
     bad = head & (tok == "poke") & (size >= 4) & ~arg(2).isin(*SIDES)
     state = {"broken": F.coalesce(F.max(bad).over(every), F.lit(False))}
@@ -217,7 +214,7 @@ def _moves(state: DataFrame) -> DataFrame:
     group = Window.partitionBy("battle_id", "_m")
     mover = F.max(F.when(is_move, F.col("nick"))).over(group)
     rows = rows.withColumn("_mover", mover).withColumn("_undone", F.coalesce(F.bool_or((tok == "-fail") & (F.col("nick") == F.col("_mover"))).over(group), F.lit(False)))
-    missed = F.exists(F.slice("a", 6, F.greatest(F.size("a"), F.lit(1))), lambda x: _bare(x).isin("[miss]", "[notarget]"))
+    missed = F.exists(F.slice("a", 6, F.greatest(F.size("a"), F.lit(1))), lambda x: bare(x).isin("[miss]", "[notarget]"))
     return rows.where(is_move).select(
         "battle_id", _turn_no(), "username", F.col("nick").alias("pokemon_name"), "species", arg(3).alias("move_name"),
         F.coalesce(_name(arg(4)), F.lit("")).alias("target_name"), F.when(missed | F.col("_undone"), 0).otherwise(1).cast("tinyint").alias("success"),
@@ -255,11 +252,11 @@ def _battles(state: DataFrame, logs: DataFrame) -> DataFrame:
     last = lambda value: F.max_by(value, F.when(value.isNotNull(), F.col("seq")))
     in_head = lambda token, value: F.when(F.col("head") & (tok == token) & (F.size("a") > 2), value)
     tier = F.array_join(F.slice("a", 3, F.size("a")), "|")
-    rated = _bare(arg(2))
+    rated = bare(arg(2))
     said = state.groupBy("battle_id").agg(
         last(in_head("tier", tier)).alias("format"), last(in_head("t:", rated.try_cast("long"))).alias("upload_time"),
         F.nullif(last(in_head("rated", F.when(rated.rlike(r"^-*\d+$"), rated.try_cast("int")))), F.lit(0)).alias("rating"),
-        last(F.when((tok == "win") & (F.size("a") > 2), _bare(arg(2)))).alias("winner_name"),
+        last(F.when((tok == "win") & (F.size("a") > 2), bare(arg(2)))).alias("winner_name"),
         last(F.when(tok == "turn", rated.try_cast("int"))).alias("turn_count"), F.max("broken").alias("broken"),
     )
     held = logs.select(
@@ -280,8 +277,8 @@ def _battles(state: DataFrame, logs: DataFrame) -> DataFrame:
 def _players(state: DataFrame) -> DataFrame:
     """One row per side (L4, L20): the first line names the user, a later one only fills the rating; a winner's name decides all sides."""
     tok, arg = F.col("token"), lambda i: F.get("a", F.lit(i))
-    rating = F.when(_bare(arg(5)).rlike(r"^-*\d+$"), _bare(arg(5)).try_cast("int"))
-    won = F.max_by(_bare(arg(2)), F.when((tok == "win") & (F.size("a") > 2), F.col("seq"))).over(Window.partitionBy("battle_id"))
+    rating = F.when(bare(arg(5)).rlike(r"^-*\d+$"), bare(arg(5)).try_cast("int"))
+    won = F.max_by(bare(arg(2)), F.when((tok == "win") & (F.size("a") > 2), F.col("seq"))).over(Window.partitionBy("battle_id"))
     rows = state.where(F.col("user").isNotNull() | (tok == "win")).withColumn("won", won).where("user IS NOT NULL")
     sides = rows.groupBy("battle_id", arg(2).alias("side")).agg(
         F.min_by("user", "seq").alias("username"), F.min_by(rating, F.when(rating.isNotNull(), F.col("seq"))).alias("rating_before"), F.max("won").alias("won")
@@ -320,7 +317,7 @@ class FactTables(Mapping):
 
     def _event(self, token: str, fields: int, value: str | None = None) -> DataFrame:
         rows = self.state.where(F.col("live") & (F.col("token") == token) & (F.size("a") >= fields))
-        extra = [_bare(F.get("a", F.lit(3))).alias(value)] if value else []
+        extra = [bare(F.get("a", F.lit(3))).alias(value)] if value else []
         return rows.select("battle_id", _turn_no(), "username", F.col("nick").alias("pokemon_name"), "species", *extra)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from duelframe.functions.text import bare
+
 
 class LoadError(ValueError):
     """A target that must not be written."""
@@ -46,7 +48,7 @@ def read_first(spark: SparkSession, folder: str, name: str, schema: StructType |
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     """A CSV lookup as text, rows with nulls dropped, values trimmed."""
     df = spark.read.option("header", True).csv(path).dropna()
-    return df.select(*[F.trim(c).alias(c) for c in df.columns])
+    return df.select(*[bare(F.col(c)).alias(c) for c in df.columns])
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
@@ -79,11 +81,62 @@ def write_pair(df: DataFrame, folder: str, name: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
 
 
-def write_jdbc(df: DataFrame, url: str, name: str, widths: dict[str, int], properties: dict[str, str] | None = None, overwrite: bool = True) -> None:
-    """An aggregate to a database table with bounded text columns (K9); the driver's jar comes with the cluster."""
-    types = ", ".join(f"{c} VARCHAR({w})" for c, w in widths.items())
+def write_jdbc(
+    df: DataFrame, url: str, name: str, widths: dict[str, int], properties: dict[str, str] | None = None, overwrite: bool = True, indexes: list[list[str]] | None = None
+) -> list[str]:
+    """An aggregate to a database table with bounded text columns (K9, K12); gives the statements that make its indexes.
+
+    An index over a column that the table does not have is an error before anything is written. The driver's jar comes with the cluster.
+    """
+    made = index_statements(df, name, indexes or [])
+    types = ", ".join(f"{c} VARCHAR({w})" for c, w in widths.items() if c in df.columns)
     writer = df.write.mode("overwrite" if overwrite else "append").option("truncate", True)
     (writer.option("createTableColumnTypes", types) if types else writer).jdbc(url, name, properties=properties or {})
+    return made
+
+
+def index_statements(df: DataFrame, name: str, indexes: list[list[str]]) -> list[str]:
+    """CREATE INDEX statements, numbered from 1."""
+    for columns in indexes:
+        absent = [c for c in columns if c not in df.columns]
+        if absent:
+            raise LoadError(f"{name}: no such columns to index: {absent}")
+    return [f"CREATE INDEX idx_{name}_{i} ON {name} ({', '.join(columns)})" for i, columns in enumerate(indexes, start=1)]
+
+
+def write_indexed(df: DataFrame, path: str, by: list[str], bloom: list[str] | None = None, partitions: int | None = None) -> None:
+    """A fact table laid out for look-ups (K13): hashed and sorted by the key, so that row groups have narrow ranges, with Bloom filters of the given columns."""
+    parted = df.repartition(partitions, *by) if partitions else df.repartition(*by)
+    writer = parted.sortWithinPartitions(*by).write.mode("overwrite")
+    for c in bloom or []:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(path)
+
+
+def write_sorted(df: DataFrame, path: str, order: list[tuple[str, bool]], ties: list[str]) -> None:
+    """An aggregate table in its published order (O1): columns with whether they descend, then tie-breakers; aggregates are small beside the facts."""
+    df.orderBy(*[F.desc(c) if down else F.asc(c) for c, down in order], *ties).write.mode("overwrite").parquet(path)
+
+
+def resume_point(groups: DataFrame, existing: int) -> int:
+    """The first chunk that is not loaded yet, of chunks (chunk, rows) loaded in order, when so many rows are there.
+
+    A number of rows that is no boundary of chunks means that the target is no clean prefix: an error.
+    """
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.select("chunk", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))  # one row per chunk
+    hit = starts.where(F.col("start") == existing).agg(F.min("chunk")).first()[0]
+    if hit is not None:
+        return hit
+    whole = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("chunk") + 1, F.lit(0))).first()
+    if whole[0] == existing:
+        return whole[1]
+    raise LoadError(f"{existing} rows do not end on a boundary of the {whole[0]} rows to load")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object per row."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def insert_lines(df: DataFrame, name: str) -> DataFrame:

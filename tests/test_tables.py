@@ -5,6 +5,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import __spark_entry__ as entry
 from duelframe.sources import tables
+from duelframe.streaming import ingest
 from duelframe.streaming.ingest import ingest_stream
 from tests.test_logs import LOG
 
@@ -32,5 +33,38 @@ def test_stream_resumes_and_skips_known(spark, tmp_path):
     assert sorted(r.battle_id for r in spark.read.parquet(f"{out}/battle").collect()) == ["b1", "b2", "b3"]
 
 
+def test_layouts_and_resume_points(spark, tmp_path):
+    df = spark.createDataFrame([(i % 7, f"n{i % 3}") for i in range(50)], "n long, s string")
+    with pytest.raises(tables.LoadError):
+        tables.index_statements(df, "t", [["n"], ["absent"]])
+    assert tables.index_statements(df, "t", [["n"], ["s", "n"]]) == ["CREATE INDEX idx_t_1 ON t (n)", "CREATE INDEX idx_t_2 ON t (s, n)"]
+    tables.write_indexed(df, str(tmp_path / "i"), ["n"], ["s"], 2)
+    tables.write_sorted(df, str(tmp_path / "s"), [("n", True)], ["s"])
+    tables.write_json(df, str(tmp_path / "j"))
+    for name in "is":
+        assert sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).collect())) == sorted(map(tuple, df.collect()))
+    assert spark.read.json(str(tmp_path / "j")).count() == 50
+    chunks = spark.createDataFrame([(0, 3), (1, 4), (2, 5)], "chunk int, rows long")
+    assert [tables.resume_point(chunks, n) for n in (0, 3, 7, 12)] == [0, 1, 2, 3] and tables.resume_point(chunks.limit(0), 0) == 0
+    for n in (1, 5, 13):
+        with pytest.raises(tables.LoadError):
+            tables.resume_point(chunks, n)
+    (tmp_path / "l.csv").write_text("a,b\n\u00a0x\t,y\n,z\n")
+    assert [tuple(r) for r in tables.read_lookup(spark, str(tmp_path / "l.csv")).collect()] == [("x", "y")]
+
+
+def test_logs_of_several_sources(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "battle_id string, log string, uploadtime double"
+    spark.createDataFrame([("b1", LOG, 5.0), ("b2", " ", None), ("b3", "|poke|p9|X|", 1.0), ("b4", "|turn|1", 7.4)], schema).coalesce(1).write.parquet(src)
+    counts = ingest.write_batch(ingest.source_logs(spark.read.parquet(src)), 0, out)
+    assert counts["battle"] == 2 and counts["errors"] == 2 and counts["battle_move"] == 4
+    errors = {r.battle_id: (r.error, r.source_file is not None) for r in spark.read.parquet(f"{out}/errors").collect()}
+    assert errors == {"b2": ("Empty or non-string log", True), "b3": ("roster line of an unknown side", False)}
+    rows = {r.battle_id: r for r in ingest.read_parts(spark, out, "battle").collect()}
+    assert rows["b4"].upload_time == 7 and rows["b1"].upload_time == 1704110400 and rows["b1"].replay_path.endswith(".parquet")
+    assert ingest.source_logs(spark.read.parquet(src), id_col=None, limit_rows=2).count() == 2
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())

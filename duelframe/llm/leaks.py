@@ -34,26 +34,46 @@ POSTINGS_A_BLOCK = 32
 ITEMS_AT_ONCE = 20_000
 TEXTS_AT_ONCE = 512
 
-_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
+#: A tag with its attributes, of any length; comparisons and prose with other marks between angle brackets stay.
+_TAG = re.compile(r"""</?[A-Za-z][\w:-]*+(?:\s++[\w:@.-]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>]++))?+)*+\s*+/?>|<![A-Za-z][^<>]*+>""")
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
 _LETTER_ESCAPE = re.compile(r"\\[nrt\"/\\]")
 _APOSTROPHE = re.compile(r"(?<=\w)['’‘`´](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _without_comments(text: str) -> str:
+    """A space for each comment; a comment that does not end is text."""
+    kept, low = [], 0
+    while (begin := text.find("<!--", low)) >= 0 and (end := text.find("-->", begin + 4)) >= 0:
+        kept += [text[low:begin], " "]
+        low = end + 3
+    return "".join([*kept, text[low:]])
+
+
 def _plain(text: str) -> str:
     """Without mark-up: tags, entities and the escapes of quoted JSON become what they stand for."""
     if "\\" in text:
         text = _LETTER_ESCAPE.sub(" ", _ESCAPED.sub(lambda m: chr(int(m[1], 16)) if not 0xD800 <= int(m[1], 16) < 0xE000 else " ", text))
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = _TAG.sub(" ", _without_comments(text))
     return html.unescape(text) if "&" in text else text
 
 
 def words_of(texts: list[str | None]) -> list[list[str]]:
-    """Words in one consistent form, without accents, case, punctuation and mark-up."""
-    forms = fold(pa.array([_plain(t or "") for t in texts], pa.large_string()), marks=False).to_pylist()
-    return [_WORD.findall(_APOSTROPHE.sub("", f.lower())) for f in forms]
+    """Words in one consistent form, without accents, case, punctuation and mark-up.
+
+    The form comes first, so that mark-up is known in whatever characters it is written; texts in which mark-up
+    stood for other characters are brought to the form again.
+    """
+    forms = fold(pa.array([t or "" for t in texts], pa.large_string()), marks=False).to_pylist()
+    plain = [_plain(f) for f in forms]
+    changed = [n for n, (f, p) in enumerate(zip(forms, plain, strict=True)) if f != p]
+    if changed:
+        again = fold(pa.array([plain[n] for n in changed], pa.large_string()), marks=False).to_pylist()
+        for n, f in zip(changed, again, strict=True):
+            plain[n] = f
+    return [_WORD.findall(_APOSTROPHE.sub("", f.lower())) for f in plain]
 
 
 class ItemIndex:

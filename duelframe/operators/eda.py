@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.functions.contest import ALL_BANDS, ratio
+from duelframe.functions.contest import ALL_BANDS, BAND_EDGES, LOWEST_BAND, ratio
 from duelframe.operators.contest import species_level
 
 
@@ -109,12 +111,67 @@ def ordered(df: DataFrame, order: list[str], column: str) -> DataFrame:
 
 
 def md_table(df: DataFrame, limit: int = 1000) -> str:
-    """A small result as a Markdown table: thousands separated, null blank (K15, F29). For reports only."""
+    """A small result as a Markdown table: thousands separated, null blank (K15, F29). For reports only.
+
+    A result of more than `limit` rows ends with a line that says how many are left out.
+    """
     def cell(v: object) -> str:
-        if v is None:
+        if v is None or (isinstance(v, float) and math.isnan(v)):
             return ""
         return f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) else f"{v:,.4g}" if isinstance(v, float) else str(v)
 
-    rows = df.limit(limit).collect()
+    rows = df.limit(limit + 1).collect()
+    if not rows:
+        return "_(no data)_"
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows])
+    lines += ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows[:limit]]
+    if len(rows) > limit:
+        lines += ["", f"{df.count() - limit:,} further rows are left out."]
+    return "\n".join(lines)
+
+
+def enough_sides(usage_table: DataFrame, min_sides: int) -> tuple[DataFrame, DataFrame]:
+    """(kept, left out): the (regulation, player_battles) with and without enough sides for a report."""
+    sizes = usage_table.where(F.col("rating_band") == ALL_BANDS).groupBy("regulation").agg(F.max("player_battles").alias("player_battles"))
+    return sizes.where(F.col("player_battles") >= min_sides), sizes.where(F.col("player_battles") < min_sides)
+
+
+def report(usage_table: DataFrame, monthly: DataFrame | None = None, summary: DataFrame | None = None, labels: DataFrame | None = None, pairs: DataFrame | None = None,
+           table: DataFrame | None = None, dim: DataFrame | None = None, min_sides: int = 50_000, min_teams: int = 5_000, min_events: int = 5_000, min_battles: int = 2_000) -> str:
+    """The report of all summaries that the given aggregate tables allow, as Markdown.
+
+    Regulations below `min_sides` are named and left out; tables that are not given leave their sections out. The regulations stand in the order
+    of the dimension, under its labels. The aggregate tables are small beside the facts; only finished summaries come to the driver.
+    """
+    kept, small = enough_sides(usage_table, min_sides)
+    of_kept = lambda df: None if df is None else df.join(kept.select("regulation"), "regulation", "left_semi")
+    usage_table, monthly, summary, labels, pairs, table = (of_kept(d) for d in (usage_table, monthly, summary, labels, pairs, table))
+    sizes = {r.regulation: r.player_battles for r in kept.collect()}  # regulations are few
+    named = {r.regulation: r.label for r in dim.orderBy("sort_order").collect()} if dim is not None else {}
+    order = list(named) or sorted(sizes)
+    label = lambda r: named.get(r, r)
+    parts = ["# Findings", "All figures are descriptive and hold for the completed contests of the regulation shown."]
+    out = [f"{label(r.regulation)} ({r.player_battles:,})" for r in small.orderBy("regulation").collect()]
+    if out:
+        parts.append(f"Left out with fewer than {min_sides:,} sides: " + ", ".join(out) + ".")
+    if not sizes:
+        return "\n\n".join([*parts, "No regulation is large enough."]) + "\n"
+    biggest = max(sizes, key=lambda r: (sizes[r], r))
+    bands = {r[0] for r in usage_table.select("rating_band").distinct().collect()}
+    top_band = BAND_EDGES[0][1]
+    sections: list[tuple[str, DataFrame]] = [("Concentration of use", ordered(concentration(usage_table), order, "regulation"))]
+    if monthly is not None:
+        sections.append(("Stability of the ranking from month to month", ordered(stability(monthly), order, "regulation")))
+    if {LOWEST_BAND, top_band} <= bands:
+        sections.append((f"Use in the highest band against the lowest, {label(biggest)}", band_shift(usage_table, biggest, LOWEST_BAND, top_band)))
+    sections.append(("Popularity and success", ordered(popularity_vs_success(usage_table), order, "regulation")))
+    sections.append(("Popularity and success inside each band", ordered(popularity_by_band(usage_table, sorted(bands)), order, "regulation")))
+    if summary is not None and labels is not None:
+        sections.append(("Special events and how far their label can be told", ordered(label_profile(summary, labels, min_events), order, "regulation")))
+    if pairs is not None:
+        sections.append((f"Pairs beyond chance, {label(biggest)}", top_pairs(pairs, biggest, min_teams)))
+    if table is not None:
+        sections.append(("Match-ups against their expectation", ordered(matchup_spread(table, min_battles), order, "regulation")))
+    for n, (title, rows) in enumerate(sections, start=1):
+        parts += [f"## {n}. {title}", md_table(rows)]
+    return "\n\n".join(parts) + "\n"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from duelframe.functions.contest import ratio, slug
+from duelframe.session import Scratch
 
 #: White space that Python's strip takes away.
 WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
@@ -130,7 +131,8 @@ def resolve_masked(slots: DataFrame, players: DataFrame, events: DataFrame) -> D
     """
     masked = slots.where(F.col("pokemon_name").endswith(MASK)).select("battle_id", "player_side", "slot_no", "pokemon_name").withColumn("slot_key", F.monotonically_increasing_id())
     owner = players.groupBy("battle_id", F.col("side").alias("player_side")).agg(F.min("username").alias("username"))
-    masked = masked.join(owner, ["battle_id", "player_side"], "left").persist()
+    # written once, since the number of a slot must be the same in both branches below
+    masked = Scratch(slots.sparkSession, "masked").save(masked.join(owner, ["battle_id", "player_side"], "left"))
     ev = events.select("battle_id", "username", F.col("pokemon_name").alias("seen")).dropna().distinct().where(~F.col("seen").endswith(MASK))
     brought = ev.groupBy("battle_id", "username").agg(F.countDistinct(F.substring_index(F.lower("seen"), "-", 1)).alias("brought_n"))
     prefix = F.lower(F.expr("substr(pokemon_name, 1, length(pokemon_name) - 1)"))

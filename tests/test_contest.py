@@ -87,3 +87,15 @@ def test_mapping_strict(spark):
     assert [r.showdown_name for r in none.collect()] == ["Emu"]
     with pytest.raises(ValueError):
         quality.build_mapping(counts, master, spark.createDataFrame([("x", "nothing")], "showdown_name string, pokemon string"))
+
+
+def test_report_and_tables(spark, t):
+    usage = C.usage(t["slots"], t["scope"], t["names"]).persist()
+    dim = C.dim_regulation(t["scope"])
+    text = eda.report(usage, monthly=C.monthly_usage(t["slots"], t["scope"], t["names"]), pairs=C.partners(t["slots"], t["scope"], t["names"], 1), table=C.matchups(t["slots"], t["scope"], t["names"], 1), dim=dim, min_sides=3, min_teams=1, min_battles=1)
+    assert "Left out with fewer than 3 sides: Champions Reg A 2026 (2)." in text and "## 1. Concentration of use" in text and "Pairs beyond chance, Reg H 2025" in text
+    assert A not in text.split("## 1.")[1] and "Special events" not in text
+    assert "No regulation is large enough." in eda.report(usage, min_sides=1000)
+    assert eda.md_table(spark.createDataFrame([(1234, 0.5, None, float("nan"))], "a long, b double, c string, d double")).endswith("| 1,234 | 0.5 |  |  |")
+    many = spark.range(7).select("id")
+    assert eda.md_table(many, 3).endswith("4 further rows are left out.") and eda.md_table(many.limit(0)) == "_(no data)_"

@@ -34,3 +34,27 @@ ch AS (
 """
 FOUND = _CHANGES + "SELECT * FROM ch"
 COUNTS = _CHANGES + "SELECT table_name, field, change_kind, count(*) AS files FROM ch GROUP BY ALL"
+
+_TYPES = {"tinyint": "TINYINT", "smallint": "SMALLINT"}
+
+
+def values(table: str, columns: dict[str, str]) -> str:
+    """SQL for the typed columns of one table, each from whichever of its names the record has."""
+
+    def text(name: str) -> str:
+        at = f"""json_extract(payload, '$."{name}"')"""
+        leaves = lambda path: f"array_to_string(list_filter(json_extract_string({at}, '{path}'), lambda x: x IS NOT NULL), '-')"
+        return f"CASE json_type({at}) WHEN 'ARRAY' THEN {leaves('$[*]')} WHEN 'OBJECT' THEN {leaves('$.*')} WHEN 'NULL' THEN NULL ELSE {at} ->> '$' END"
+
+    def plain(value: str) -> str:
+        low = f"lower(trim({value}))"
+        return f"CASE WHEN {low} IN ('true', 'yes', 'y', 't') THEN '1' WHEN {low} IN ('false', 'no', 'n', 'f') THEN '0' ELSE regexp_replace({low}, '^(-?[0-9]+)\\.0+$', '\\1') END"
+
+    picked = []
+    for column, kind in columns.items():
+        names = (column, *_NAMES[table].get(column, ()))
+        one = [text(n) if kind == "string" else f"CASE WHEN regexp_full_match({plain(text(n))}, '-?[0-9]+') THEN try_cast({plain(text(n))} AS {_TYPES[kind]}) END" for n in names]
+        picked.append(f"coalesce({', '.join(one)}) AS {column}")
+    return f"""
+WITH r AS (SELECT DISTINCT feed, file_no, line_no, payload FROM raw_record WHERE table_name = '{table}' AND feed IS NOT NULL AND file_no IS NOT NULL)
+SELECT feed, file_no, line_no, {', '.join(picked)} FROM r"""

@@ -112,9 +112,11 @@ LOG_TABLES = {
 def log_table(name: str) -> Callable[[Tables], DataFrame]:
     """One fact table of the logs that are composed from the contest tables."""
     drop = {"battle_players": "rating_after", "errors": "source_file"}.get(name)
+    # tables of several branches read a written state, the others project it
+    branched = name in ("battle_team_slot", "battle_damage", "battle_ko")
 
     def build(t: Tables) -> DataFrame:
-        facts = logs.fact_tables(t.logs)[name]
+        facts = logs.fact_tables(t.logs, t.scratch.save if branched else None)[name]
         return facts.drop(drop) if drop else facts
 
     return build

@@ -45,11 +45,27 @@ def p2_slots(spark: SparkSession, d: str) -> DataFrame:
     return _ingested(spark, d, "battle_team_slot")
 
 
+def _values(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return drift.Ingestion(table(spark, d, "raw_record")).replayed(name, {}).select("feed", "file_no", "line_no", *drift.LAYOUTS[name])
+
+
+def p2_lead_values(spark: SparkSession, d: str) -> DataFrame:
+    """The typed columns alone, without what stays rescued."""
+    return _values(spark, d, "battle_leads")
+
+
+def p2_slot_values(spark: SparkSession, d: str) -> DataFrame:
+    return _values(spark, d, "battle_team_slot")
+
+
 def p2_change_counts(spark: SparkSession, d: str) -> DataFrame:
     return p2_found(spark, d).groupBy("table_name", "field", "change_kind").agg(F.count(F.lit(1)).alias("files"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_counts, p1_keys, p2_found, p2_leads, p2_slots, p2_change_counts)
+    f.__name__: f for f in (p1_found, p1_counts, p1_keys, p2_found, p2_leads, p2_slots, p2_lead_values, p2_slot_values, p2_change_counts)
 }
-SQL = {"p1_found": orphans_sql.FOUND, "p1_counts": orphans_sql.COUNTS, "p1_keys": orphans_sql.KEYS, "p2_found": drift_sql.FOUND, "p2_change_counts": drift_sql.COUNTS}
+SQL = {
+    "p1_found": orphans_sql.FOUND, "p1_counts": orphans_sql.COUNTS, "p1_keys": orphans_sql.KEYS, "p2_found": drift_sql.FOUND, "p2_change_counts": drift_sql.COUNTS,
+    "p2_lead_values": drift_sql.values("battle_leads", drift.LAYOUTS["battle_leads"]), "p2_slot_values": drift_sql.values("battle_team_slot", drift.LAYOUTS["battle_team_slot"]),
+}

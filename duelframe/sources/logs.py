@@ -34,8 +34,8 @@ META = (("uploadtime", "upload_time", True), ("rating", "rating", True), ("forma
 
 def _name(raw: Column) -> Column:
     """Nickname after the place, without a gender or shiny tail."""
-    after = F.when(raw.contains(": "), F.regexp_replace(raw, r"^.*?: ", "")).otherwise(raw)
-    return bare(F.regexp_replace(after, r"(?i),\s*(M|F|shiny|shiny M|shiny F)$", ""))
+    after = F.when(raw.contains(": "), F.substring(raw, F.instr(raw, ": ") + 2, F.length(raw))).otherwise(raw)
+    return bare(F.when(after.contains(","), F.regexp_replace(after, r"(?i),\s*(M|F|shiny|shiny M|shiny F)$", "")).otherwise(after))
 
 
 def _species(details: Column) -> Column:
@@ -124,6 +124,9 @@ def state_table(logs: DataFrame) -> DataFrame:
         "mv_new": F.when(live & (tok == "move") & (size >= 5), arg(3)),
         "user": F.when(head & (tok == "player") & (size >= 4), F.nullif(bare(arg(3)), F.lit(""))),
     })
+    # the last species of a nickname of the side, before the rows grow wide
+    own = Window.partitionBy("battle_id", "side", "nick").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"known_as": F.last("sp_new", True).over(own), "opening": F.col("entry") & ((F.col("phase") == "preview") | (F.col("turn") == 0))})
     bad = head & (tok == "poke") & (size >= 4) & ~arg(2).isin(*SIDES)
     state = {"broken": F.coalesce(F.max(bad).over(every), F.lit(False))}
     for s in SIDES:
@@ -135,17 +138,14 @@ def state_table(logs: DataFrame) -> DataFrame:
         state[f"{p}_hp"] = F.last(F.when(here, F.col("hp_new")), True).over(before)
         state[f"{p}_move"] = F.last(F.when(here, F.col("mv_new")), True).over(before)
         state[f"{p}_moved"] = F.min(F.when(here & F.col("mv_new").isNotNull(), F.col("seq"))).over(before)
+        state[f"{p}_opened"] = F.max(F.when(here & F.col("opening"), F.lit(True))).over(before)
         state[f"{p}_entered"] = F.min(F.when(here & F.col("entry"), F.col("seq"))).over(before)
-    rows = rows.withColumns(state)
-    own = Window.partitionBy("battle_id", "side", "nick").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    opening = F.col("entry") & ((F.col("phase") == "preview") | (F.col("turn") == 0))
-    placed = Window.partitionBy("battle_id", "place").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumns({
-        "species": F.coalesce(species_of(F.col("place"), F.col("nick")), F.last("sp_new", True).over(own), F.lit("")),
+    return rows.withColumns(state).withColumns({
+        "species": F.coalesce(species_of(F.col("place"), F.col("nick")), F.col("known_as"), F.lit("")),
         "hp_before": F.coalesce(at(F.col("place"), "hp"), F.lit(100.0)),
         "username": F.coalesce(F.when(F.col("side") == "p1", F.col("p1_user")).when(F.col("side") == "p2", F.col("p2_user")), F.lit("")),
-        "lead": opening & (F.coalesce(F.sum(F.when(opening, 1)).over(placed), F.lit(0)) == 0),
-    })
+        "lead": F.col("opening") & at(F.col("place"), "opened").isNull(),
+    }).drop("known_as", "opening", *[f"{p}_opened" for p in PLACES])
 
 
 def at(place: Column, what: str) -> Column:

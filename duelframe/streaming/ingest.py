@@ -7,6 +7,8 @@ batch holds are left out by a join on their ids, of which only the hash buckets
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +19,7 @@ from duelframe.sources.logs import META, contest_id, fact_tables, valid_logs
 
 #: Ids of accepted contests are kept in so many folders by their hash.
 ID_BUCKETS = 64
+TABLES_AT_ONCE = 4
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -54,18 +57,19 @@ def write_batch(logs: DataFrame, number: int, out: str) -> dict[str, int]:
         good = good.join(known, ["bucket", "battle_id"], "left_anti").drop("bucket")
     good = scratch.save(good)
     facts = fact_tables(good, scratch.save)
-    counts = {}
 
     def write(df: DataFrame, path: str, *by: str) -> int:
         seen = Observation()
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy(*by).parquet(path)
         return seen.get.get("n", 0)
 
-    for name, df in facts.items():
-        if name != "errors":
-            counts[name] = write(df, f"{out}/{name}/batch={number}")
     found = errors.unionByName(facts["errors"]).select("source_file", "battle_id", F.left("error", F.lit(1000)).alias("error"))
-    counts["errors"] = write(found, f"{out}/errors/batch={number}")
+    tables = {**facts, "errors": found}
+    # the tables are projections of one written state: some at a time fill the cores
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        jobs = {name: pool.submit(write, df, f"{out}/{name}/batch={number}") for name, df in tables.items()}
+        counts = {name: job.result() for name, job in jobs.items()}
+    # the ids come last: a batch that fails before is read again as a whole
     write(facts["battle"].select("battle_id", _bucket(F.col("battle_id")).alias("bucket")), f"{ids}/batch={number}", "bucket")
     scratch.clear()
     return counts

@@ -20,7 +20,7 @@ from duelframe.operators import similarity
 from duelframe.plans import catalogue_sql as S
 from duelframe.plans import logs_sql, sample_logs
 from duelframe.session import Scratch, table
-from duelframe.sources import logs
+from duelframe.sources import crawl, logs
 
 #: Support limits and segment of the registered queries, fit for the size of the test tables.
 PAIRS, MATCHES, TEAMS, MONTH_SIDES = 30, 20, 40, 40
@@ -122,6 +122,13 @@ def log_table(name: str) -> Callable[[Tables], DataFrame]:
     return build
 
 
+def crawl_next(t: Tables) -> DataFrame:
+    """What a crawl of one segment would fetch next if it held every fifth second of half a year."""
+    listing = t.battle.select(F.col("battle_id").alias("id"), F.col("upload_time").alias("uploadtime"))
+    held = listing.where(F.startswith("id", F.lit(SEGMENT)) & F.col("uploadtime").between(1711929600, 1727740800) & (F.col("uploadtime") % 5 == 0)).distinct()
+    return crawl.next_ids(listing, held, SEGMENT, 4000)
+
+
 _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "scope_contests": lambda t: C.scope(t.battle, t.players),
     "band_totals": lambda t: C.band_totals(t.scope),
@@ -182,6 +189,7 @@ _BUILD: dict[str, Callable[[Tables], DataFrame]] = {
     "first_contests": lambda t: Q.first_contests(t.slots.where("battle_id IS NOT NULL"), 50).groupBy("battle_id").agg(F.count(F.lit(1)).alias("rows")),
     "invariants": lambda t: Q.invariants(t.usage, t.pairs(), t.matchups(), t.summary).where("NOT holds").select("invariant"),
     "item_corpus": lambda t: similarity.corpus(t.slots).select("battle_id", "player_side", F.array_join("team", ";").alias("team")),
+    "crawl_next": lambda t: crawl_next(t),
     "rating_histogram": lambda t: t.players.where("rating_before IS NOT NULL").groupBy((F.floor(F.col("rating_before") / 100) * 100).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("sides")),
 }
 

@@ -221,4 +221,10 @@ SELECT format_id, battle_id, loaded_at FROM (SELECT *, row_number() OVER (PARTIT
     "item_corpus": """
 SELECT battle_id, player_side, string_agg(pokemon_name, ';' ORDER BY slot_no NULLS FIRST, pokemon_name) AS team
 FROM (SELECT DISTINCT battle_id, player_side, slot_no, pokemon_name FROM battle_team_slot WHERE pokemon_name IS NOT NULL AND battle_id IS NOT NULL) GROUP BY battle_id, player_side""",
+    "crawl_next": """
+WITH l AS (SELECT DISTINCT battle_id AS id, upload_time AS t FROM battle WHERE starts_with(battle_id, 'gen9vgc2024regx') AND upload_time IS NOT NULL),
+h AS (SELECT * FROM l WHERE t BETWEEN 1711929600 AND 1727740800 AND t % 5 = 0),
+nw AS (SELECT id FROM l WHERE t >= (SELECT max(t) FROM h)),
+od AS (SELECT id, row_number() OVER (ORDER BY t DESC, id) AS n FROM l WHERE t <= (SELECT min(t) FROM h))
+SELECT DISTINCT id FROM (SELECT id FROM nw UNION ALL SELECT id FROM od WHERE n <= 4000 - (SELECT count(*) FROM nw)) WHERE id NOT IN (SELECT id FROM h)""",
 }

@@ -6,6 +6,7 @@ from duelframe.functions import contest as X
 from duelframe.operators import diagnosis as D
 from duelframe.operators import master as M
 from duelframe.operators import quality as Q
+from duelframe.sources import crawl
 
 SIX = (1, 2, 3, 4, 5, 6)
 
@@ -63,3 +64,15 @@ def test_quality_checks(spark):
     assert tuple(Q.odd_ratings(players).first()) == (2, 1)
     share = spark.createDataFrame([(0.99,), (0.98,)], "share double")
     assert [r.passes for r in Q.coverage_gate(share).collect()] == [True, False]
+
+
+def test_crawl_goes_forward_then_backward(spark, tmp_path):
+    (tmp_path / "1.json").write_text('[{"id": "g-9", "uploadtime": 90}, {"id": "g-5", "uploadtime": 50}, {"id": "x-9", "uploadtime": 95}]')
+    (tmp_path / "2.json").write_text('[{"id": "g-5", "uploadtime": 50}, {"id": "g-3", "uploadtime": 30}, {"id": "g-2", "uploadtime": 20}, {"id": "g-0", "uploadtime": null}]')
+    listing = crawl.read_pages(spark, str(tmp_path))
+    held = spark.createDataFrame([("g-5", 50, "old"), ("g-4", 40, "old")], crawl.REPLAY)
+    ids = lambda want, h=held: {r.id for r in crawl.next_ids(listing, h, "g-", want).collect()}
+    assert ids(0) == {"g-9"} and ids(3) == {"g-9", "g-3"} and ids(99) == {"g-9", "g-3", "g-2"} and ids(2, held.limit(0)) == {"g-9", "g-5"}
+    whole = "\n".join([*[f"|poke|p{s}|{n}|" for s in (1, 2) for n in "ABCDEF"], *[f"|showteam|p{s}|A|]B|]C|]D|]E|]F|" for s in (1, 2)], "|", "|turn|1"])
+    fetched = spark.createDataFrame([("g-5", 50, whole), ("g-9", 90, whole), ("g-9", 91, whole), ("g-3", 30, "|turn|1"), ("g-2", 20, None)], crawl.REPLAY)
+    assert {(r.id, r.uploadtime, r.log == "old") for r in crawl.keep_new(fetched, held).collect()} == {("g-5", 50, False), ("g-4", 40, True), ("g-9", 91, False)}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _TURNS = ", ".join(f"({t})" for t in range(1, 13))
 
-#: Lines of one turn: place in the turn, condition, text. a, b stand at p1a, p1b and c, d at p2a, p2b; sa is the species of a.
+#: Lines of one turn in order: number, condition, text. a, b stand at p1a, p1b and c, d at p2a, p2b; sa is the species of a.
 _TURN_LINES = (
     (0, "true", "'|turn|' || CAST(t AS STRING)"),
     (1, "a IS NOT NULL AND c IS NOT NULL", "'|move|p1a: ' || a || '|Move ' || CAST(t % 7 AS STRING) || '|p2a: ' || c || CASE WHEN t % 4 = 0 THEN '|[miss] ' ELSE '' END"),
@@ -37,7 +37,7 @@ _TURN_LINES = (
     (21, "b IS NOT NULL AND t = 11", "'|-damage|p1b: ' || b || '|44'"),
 )
 
-_LINES = "\n  UNION ALL ".join(f"SELECT battle_id, 10 + t, {k}, {text} FROM t WHERE {when}" for k, when, text in _TURN_LINES)
+_TURN = "concat_ws(chr(10), " + ", ".join(f"CASE WHEN {when} THEN {text} END" for _, when, text in _TURN_LINES) + ")"
 
 #: Common table expressions up to `logs` (battle_id, replay_path, uploadtime, rating, log); {name} stands for tables, {joined} and {packed} for the text of the lines and of the members in order.
 COMPOSE = f"""
@@ -60,25 +60,17 @@ sl AS (
   SELECT DISTINCT battle_id, lower(trim(player_side)) AS side, CAST(slot_no AS INT) AS slot_no, CASE WHEN slot_no % 2 = 0 THEN pokemon_name || '||item' ELSE replace(pokemon_name, '-*', '') || '|' || coalesce(species_observed, '') || '|item' END AS mon
   FROM {{battle_team_slot}} WHERE battle_id IS NOT NULL AND pokemon_name IS NOT NULL AND slot_no IS NOT NULL AND lower(trim(player_side)) IN ('p1', 'p2')),
 lines AS (
-  SELECT battle_id, 0 AS part, 0 AS k, '|t:|' || CAST(upload_time AS STRING) AS line FROM b WHERE upload_time % 2 = 0
-  UNION ALL SELECT battle_id, 0, 1, '|tier|' || format FROM b WHERE format IS NOT NULL
-  UNION ALL SELECT battle_id, 0, 2, '|rated|' || CAST(rating AS STRING) FROM b WHERE rating % 3 = 0
-  UNION ALL SELECT battle_id, 1, 0, '|player|' || side || '|' || coalesce(username, '') || ' |12|' || coalesce(CAST(rating_before AS STRING), '') FROM p
-  UNION ALL SELECT battle_id, 1, 1, '|player|' || side || '|' FROM p
+  SELECT battle_id, 0 AS part, 0 AS k, concat_ws(chr(10), CASE WHEN upload_time % 2 = 0 THEN '|t:|' || CAST(upload_time AS STRING) END, '|tier|' || format, CASE WHEN rating % 3 = 0 THEN '|rated|' || CAST(rating AS STRING) END) AS line FROM b
+  UNION ALL SELECT battle_id, 1, 0, '|player|' || side || '|' || coalesce(username, '') || ' |12|' || coalesce(CAST(rating_before AS STRING), '') || chr(10) || '|player|' || side || '|' FROM p
   UNION ALL SELECT DISTINCT battle_id, 2, CAST(slot_no AS INT), '|poke|' || CASE WHEN slot_no = 7 THEN 'p9' ELSE lower(trim(player_side)) END || '|' || pokemon_name || ', L50|item'
     FROM {{battle_team_slot}} WHERE battle_id IS NOT NULL AND pokemon_name IS NOT NULL AND slot_no IS NOT NULL AND lower(trim(player_side)) IN ('p1', 'p2')
-  UNION ALL SELECT battle_id, 2, 9, '|poke|p1' FROM b
-  UNION ALL SELECT battle_id, 2, 10, '|poke|p7|Stray|' FROM b WHERE turns = 11
+  UNION ALL SELECT battle_id, 2, 9, concat_ws(chr(10), '|poke|p1', CASE WHEN turns = 11 THEN '|poke|p7|Stray|' END) FROM b
   UNION ALL SELECT battle_id, 2, 20, '|showteam|' || side || '|' || {{packed}} FROM sl WHERE slot_no % 5 <> 4 GROUP BY battle_id, side
-  UNION ALL SELECT battle_id, 2, 21, '|' FROM b WHERE turns <> 9
-  UNION ALL SELECT battle_id, 3, 0, '|teampreview|4' FROM b
-  UNION ALL SELECT battle_id, 4, 0, '|start' FROM b WHERE turns <> 10
+  UNION ALL SELECT battle_id, 2, 21, concat_ws(chr(10), CASE WHEN turns <> 9 THEN '|' END, '|teampreview|4', CASE WHEN turns <> 10 THEN '|start' END) FROM b
   UNION ALL SELECT battle_id, 5, 0, '|switch|' || side || letter || ': ' || nick || '|' || species || ', L50, M|100/100' FROM l
   UNION ALL SELECT battle_id, 6, 0, '|drag|p1a: Early|Early, L50|77/100' FROM b WHERE turns % 4 = 3
-  UNION ALL {_LINES}
-  UNION ALL SELECT battle_id, 90, 0, coalesce('|win| ' || winner || ' ', '|tie') FROM b
-  UNION ALL SELECT battle_id, 91, 0, '|move|p1a: Late|Late|p2a: Late' FROM b
-  UNION ALL SELECT battle_id, 91, 1, '|player|p1|Late|1|9' FROM b),
+  UNION ALL SELECT battle_id, 10 + t, 0, {_TURN} FROM t
+  UNION ALL SELECT battle_id, 90, 0, concat_ws(chr(10), coalesce('|win| ' || winner || ' ', '|tie'), '|move|p1a: Late|Late|p2a: Late', '|player|p1|Late|1|9') FROM b),
 whole AS (SELECT battle_id, {{joined}} AS log FROM lines WHERE battle_id IN (SELECT battle_id FROM b) GROUP BY battle_id),
 logs AS (
   SELECT b.battle_id, b.replay_path, CAST(b.upload_time AS DOUBLE) AS uploadtime, b.rating + 0.5 AS rating, whole.log FROM b JOIN whole ON b.battle_id = whole.battle_id)

@@ -8,6 +8,7 @@ fact table is a filter and a projection of that table. A contest is bounded by o
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -165,8 +166,8 @@ def _damages(state: DataFrame) -> DataFrame:
     the log. The move is the last one of the attacker's place, else the [from] text.
     """
     tok = F.col("token")
-    rows = state.withColumns({"of": _tag("[of]", 5), "cause": F.coalesce(_tag("[from]", 5), F.lit(""))})
-    rows = rows.where(F.col("live") & (tok == "-damage") & F.col("hp_new").isNotNull())
+    rows = state.where(F.col("live") & (tok == "-damage") & F.col("hp_new").isNotNull())
+    rows = rows.withColumns({"of": _tag("[of]", 5), "cause": F.coalesce(_tag("[from]", 5), F.lit(""))})
     rows = rows.withColumns({"of_place": _place(F.col("of")), "of_nick": F.nullif(_name(F.col("of")), F.lit(""))})
     about = lambda p, *first: F.struct(*first, F.col(f"{p}_name").alias("name"), F.col(f"{p}_species").alias("sp"), F.col(f"{p}_move").alias("move"))
     rival = lambda p: (F.col("side") != p[:2]) if p[:2] == "p1" else (F.col("side") == "p1")
@@ -176,7 +177,7 @@ def _damages(state: DataFrame) -> DataFrame:
     rows = rows.withColumn("of_species", species_of(F.col("of_place"), F.col("of_nick")))
     # a named attacker that has left its place is known by the last species of its nickname
     asked = rows.where("of_nick IS NOT NULL AND of_species IS NULL").select("battle_id", "seq", F.left("of_place", F.lit(2)).alias("side"), F.col("of_nick").alias("nick"))
-    seen = state.where("sp_new IS NOT NULL").select("battle_id", "side", "nick", F.col("seq").alias("at_seq"), "sp_new")
+    seen = state.where(tok.isin("switch", "drag", "detailschange", "replace") & F.col("sp_new").isNotNull()).select("battle_id", "side", "nick", F.col("seq").alias("at_seq"), "sp_new")
     left = asked.join(seen, ["battle_id", "side", "nick"]).where("at_seq < seq").groupBy("battle_id", "seq").agg(F.max_by("sp_new", "at_seq").alias("left_species"))
     rows = rows.join(left, ["battle_id", "seq"], "left")
     told = F.col("of_nick").isNotNull()
@@ -226,7 +227,7 @@ def _slots(state: DataFrame) -> DataFrame:
     tok, arg = F.col("token"), lambda i: F.get("a", F.lit(i))
     # a lead belongs to the last side that its user took
     lead_side = F.when(F.col("username") == "", None).when(F.col("username") == F.col("p2_user"), "p2").otherwise(F.col("side"))
-    entries = state.where("entry").select("battle_id", "side", "sp_new", F.when(F.col("lead") & (F.col("sp_new") != ""), lead_side).alias("lead_side"))
+    entries = state.where(tok.isin("switch", "drag") & F.col("entry")).select("battle_id", "side", "sp_new", F.when(F.col("lead") & (F.col("sp_new") != ""), lead_side).alias("lead_side"))
     sent = entries.groupBy("battle_id", F.col("side").alias("player_side")).agg(F.collect_set("sp_new").alias("sent"))
     led = entries.where("lead_side IS NOT NULL").groupBy("battle_id", F.col("lead_side").alias("player_side")).agg(F.collect_set("sp_new").alias("led"))
     poke = state.where(F.col("head") & (tok == "poke") & (F.size("a") >= 4)).select("battle_id", "seq", arg(2).alias("player_side"), _species(arg(3)).alias("pokemon_name"))
@@ -253,7 +254,7 @@ def _battles(state: DataFrame, logs: DataFrame) -> DataFrame:
     in_head = lambda token, value: F.when(F.col("head") & (tok == token) & (F.size("a") > 2), value)
     tier = F.array_join(F.slice("a", 3, F.size("a")), "|")
     rated = bare(arg(2))
-    said = state.groupBy("battle_id").agg(
+    said = state.where(tok.isin("tier", "t:", "rated", "win", "turn", "start", "poke")).groupBy("battle_id").agg(
         last(in_head("tier", tier)).alias("format"), last(in_head("t:", rated.try_cast("long"))).alias("upload_time"),
         F.nullif(last(in_head("rated", F.when(rated.rlike(r"^-*\d+$"), rated.try_cast("int")))), F.lit(0)).alias("rating"),
         last(F.when((tok == "win") & (F.size("a") > 2), bare(arg(2)))).alias("winner_name"),
@@ -279,7 +280,7 @@ def _players(state: DataFrame) -> DataFrame:
     tok, arg = F.col("token"), lambda i: F.get("a", F.lit(i))
     rating = F.when(bare(arg(5)).rlike(r"^-*\d+$"), bare(arg(5)).try_cast("int"))
     won = F.max_by(bare(arg(2)), F.when((tok == "win") & (F.size("a") > 2), F.col("seq"))).over(Window.partitionBy("battle_id"))
-    rows = state.where(F.col("user").isNotNull() | (tok == "win")).withColumn("won", won).where("user IS NOT NULL")
+    rows = state.where(((tok == "player") & F.col("user").isNotNull()) | (tok == "win")).withColumn("won", won).where("user IS NOT NULL")
     sides = rows.groupBy("battle_id", arg(2).alias("side")).agg(
         F.min_by("user", "seq").alias("username"), F.min_by(rating, F.when(rating.isNotNull(), F.col("seq"))).alias("rating_before"), F.max("won").alias("won")
     )
@@ -294,18 +295,24 @@ class FactTables(Mapping):
     A log with a roster line of an unknown side is an error and gives no facts.
     """
 
-    def __init__(self, logs: DataFrame, whole: DataFrame):
-        self.logs, self.whole, self.state = logs, whole, whole.where("NOT broken")
+    def __init__(self, logs: DataFrame, whole: DataFrame, save=None):
+        self.logs, self.whole, self.state, self.save = logs, whole, whole.where("NOT broken"), save
         self._builders = {
             "battle": lambda: _battles(self.whole, self.logs), "players": lambda: _players(self.state).select("username").distinct(),
             "battle_players": lambda: _players(self.state), "battle_team_slot": lambda: _slots(self.state), "battle_leads": lambda: _leads(self.state),
-            "battle_move": lambda: _moves(self.state), "battle_damage": lambda: _damage_rows(_damages(self.state)), "battle_ko": lambda: _knock_outs(self.state, _damages(self.state)),
+            "battle_move": lambda: _moves(self.state), "battle_damage": lambda: _damage_rows(self.damages), "battle_ko": lambda: _knock_outs(self.state, self.damages),
             "battle_faint": lambda: self._event("faint", 3), "battle_switch": lambda: _switches(self.state), "battle_weather": lambda: _weather(self.state),
             "battle_status": lambda: self._event("-status", 4, "status_code"), "battle_ability": lambda: self._event("-ability", 4, "ability_name"),
             "battle_tera": lambda: self._event("-terastallize", 4, "tera_type"), "battle_field_state": lambda: _field_states(self.state),
             "errors": lambda: _broken(self.whole),
         }
 
+    @functools.cached_property
+    def damages(self) -> DataFrame:
+        """The damage lines with attacker and move, of which two tables are made."""
+        found = _damages(self.state)
+        return self.save(found) if self.save else found
+
     def __getitem__(self, name: str) -> DataFrame:
         return self._builders[name]()
 
@@ -326,7 +333,7 @@ def _turn_no() -> Column:
 
 
 def _leads(state: DataFrame) -> DataFrame:
-    rows = state.where("lead").select("battle_id", "seq", "username", F.col("nick").alias("pokemon_name"), F.col("sp_new").alias("species"), (F.ascii(F.right("place", F.lit(1))) - 96).cast("tinyint").alias("lead_slot"))
+    rows = state.where(F.col("token").isin("switch", "drag") & F.col("lead")).select("battle_id", "seq", "username", F.col("nick").alias("pokemon_name"), F.col("sp_new").alias("species"), (F.ascii(F.right("place", F.lit(1))) - 96).cast("tinyint").alias("lead_slot"))
     first = rows.groupBy("battle_id", "username", "pokemon_name", "lead_slot").agg(F.min_by("species", "seq").alias("species"))
     return first.select("battle_id", "username", "pokemon_name", "species", "lead_slot")
 
@@ -340,7 +347,7 @@ def _damage_rows(damages: DataFrame) -> DataFrame:
 
 
 def _switches(state: DataFrame) -> DataFrame:
-    return state.where("entry AND NOT lead").select("battle_id", _turn_no(), "username", F.col("nick").alias("pokemon_name"), F.col("sp_new").alias("species"))
+    return state.where("token IN ('switch', 'drag') AND entry AND NOT lead").select("battle_id", _turn_no(), "username", F.col("nick").alias("pokemon_name"), F.col("sp_new").alias("species"))
 
 
 def _weather(state: DataFrame) -> DataFrame:
@@ -362,8 +369,8 @@ def _broken(whole: DataFrame) -> DataFrame:
 def fact_tables(logs: DataFrame, save=None) -> FactTables:
     """The fact tables of first logs (battle_id, log and, where they are, replay_path and META).
 
-    save: writes a table and gives it back, such as Scratch.save, so that the state is computed once for
-    all tables; without it every table is a lazy projection of it.
+    save: writes a table, partitioned by given columns, and gives it back, such as Scratch.save, so that the state is computed once for
+    all tables and each reads the lines of its kinds only; without it every table is a lazy projection of the state.
     """
     whole = state_table(logs)
-    return FactTables(logs, whole if save is None else save(whole))
+    return FactTables(logs, whole if save is None else save(whole, "token"), save)

@@ -63,6 +63,7 @@ def write_batch(logs: DataFrame, number: int, out: str) -> dict[str, int]:
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy(*by).parquet(path)
         return seen.get.get("n", 0)
 
+    facts.damages  # noqa: B018 - written before tables are made at the same time
     found = errors.unionByName(facts["errors"]).select("source_file", "battle_id", F.left("error", F.lit(1000)).alias("error"))
     tables = {**facts, "errors": found}
     # the tables are projections of one written state: some at a time fill the cores

@@ -75,3 +75,14 @@ def test_changes_and_tables_come_through_the_rescued_values(spark):
     # without the rescued values the other name is not known
     bare = {t: df.withColumn("_rescued", F.lit(None).cast("string")) for t, df in held.tables.items()}
     assert D.learn_names(bare, held.files).count() == 0
+
+
+def test_files_are_compared_without_a_broadcast(spark):
+    data = rows("f", 1, [base(i) for i in range(8)]) + rows("f", 9000, [base(i, level=50) for i in range(8)]) + rows("f", 9001, [base(i, level=5.5) for i in range(8)])
+    found = D.changes(spark.createDataFrame(data, SCHEMA))
+    assert {(r.file_no, r.field, r.change_kind) for r in found.collect()} == {(9000, "level", "added"), (9001, "level", "retyped")}
+    assert "Join" not in found._jdf.queryExecution().toString()
+    files = spark.createDataFrame([("f", "t", 1, [("a", "text")]), ("f", "t", 9000, [("b", "text")])], "feed string, table_name string, file_no int, fields array<struct<field:string,kind:string>>")
+    linked = D.with_previous(files)
+    assert "BroadcastHashJoin" not in linked._jdf.queryExecution().toString()
+    assert {(r.file_no, r.before and r.before[0].field) for r in linked.collect()} == {(1, None), (9000, "a")}

@@ -6,6 +6,8 @@ character grams). The index stores it once per rotation: `blocks` tables, table
 by block i of the fingerprint. Two fingerprints that differ in fewer than `blocks` bits agree
 in a whole block, so an exact look-up in the tables finds them; the Hamming distance and
 then the texts decide: equal, or the same digits and all short words with a slip in a long word.
+Texts that can be one have the same shape (all but the long words), so a digest of the shape is looked
+up with the block: entries of a block, which grow with history, are not compared one by one.
 
 The index is a folder that can be opened again. `accept` looks a batch up and appends the
 fingerprints of its new texts, each with the first record it stands for, so history is read
@@ -31,9 +33,9 @@ GRAM = 4
 ROOTS = ("data", "replays", "recrawl")
 #: Near texts are one if they differ by at most SLIPS edits inside words of LONG letters or more.
 LONG, SLIPS = 5, 2
-#: Batches that wait together are looked up together up to so many arrivals.
+#: Batches that wait together are looked up together up to so many arrivals, or as many as there are indexed texts.
 ROWS_AT_ONCE = 200_000
-ENTRY = "kind string, text string, owner long, name string, fp long, rotation int, block long"
+ENTRY = "kind string, text string, owner long, name string, fp long, rotation int, block long, shape int"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,7 +111,7 @@ def replay_place(col: Column, roots: tuple[str, ...] = ROOTS) -> Column:
     p = F.regexp_replace(trimmed(col), r"\+", "%2B")
     p = F.lower(F.translate(F.coalesce(F.try_url_decode(p), F.regexp_replace(p, "%2B", "+")), "\\", "/"))
     p = F.regexp_replace(F.regexp_replace(p, r"/{2,}", "/"), r"(?<=^|/)(\./)+", "")
-    p = F.when(p.contains("/../"), _stepped(p)).otherwise(p)
+    p = F.transform(F.array(p), lambda x: F.when(x.contains("/../"), _stepped(x)).otherwise(x))[0]  # the steps before are taken once
     p = F.regexp_replace(p, rf"^.*?(?=(?<=^|/)({'|'.join(roots)})/)", "")
     p = F.regexp_replace(p, r"^/+", "")
     p = F.regexp_replace(p, r"\.(gz|zst|bz2|xz|zip)$", "")
@@ -121,14 +123,15 @@ def keyed(records: DataFrame, order: Column, *carry: str) -> DataFrame:
 
     A single-replay file is named after its replay id, so that name is an id as well.
     """
-    place = replay_place(F.col("replay_path"))
+    placed = records.select(order.alias("ord"), *carry, replay_id(F.col("battle_id")).alias("_id"), replay_place(F.col("replay_path")).alias("_place"))
+    place = F.col("_place")
     stem = replay_id(F.nullif(F.regexp_extract(place, r"^replays/(?:.*/)?([^/#]+)\.log$", 1), F.lit("")))
     texts = F.array(
-        F.struct(F.lit("id").alias("kind"), replay_id(F.col("battle_id")).alias("text")),
+        F.struct(F.lit("id").alias("kind"), F.col("_id").alias("text")),
         F.struct(F.lit("place").alias("kind"), place.alias("text")),
         F.struct(F.lit("id").alias("kind"), stem.alias("text")),
     )
-    return records.select(order.alias("ord"), *carry, F.explode(F.array_distinct(texts)).alias("k")).select("ord", *carry, "k.kind", "k.text").where("text IS NOT NULL")
+    return placed.select("ord", *carry, F.explode(F.array_distinct(texts)).alias("k")).select("ord", *carry, "k.kind", "k.text").where("text IS NOT NULL")
 
 
 def first_texts(keys: DataFrame) -> DataFrame:
@@ -145,20 +148,40 @@ def block_tables(index: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     return index.select("*", F.explode(rotations).alias("r")).select("*", "r.rotation", "r.block").drop("r")
 
 
+def skeleton(text: str) -> Column:
+    """A text with its words of LONG letters or more blotted out."""
+    return F.regexp_replace(text, rf"[a-z]{{{LONG},}}", "~")
+
+
+def shape(text: str) -> Column:
+    """Short digest of what two texts that stand for one record have in common; with a block it is enough to tell entries apart."""
+    return F.pmod(F.xxhash64(skeleton(text)), F.lit(1 << 16)).cast("int")
+
+
+def _looked_up(entries: DataFrame) -> DataFrame:
+    """The entries that can meet another: without a long word a text meets its equals only, which the first rotation finds."""
+    return entries.where((F.col("rotation") == 0) | F.col("text").rlike(rf"[a-z]{{{LONG},}}"))
+
+
 def same_text(a: str, b: str) -> Column:
     """Whether two texts of near fingerprints stand for one record: equal, or at most SLIPS edits apart,
     all of them inside words of LONG letters or more. Digits and short words tell records apart."""
-    skeleton = lambda c: F.regexp_replace(c, rf"[a-z]{{{LONG},}}", "~")
     return (F.col(a) == F.col(b)) | ((skeleton(a) == skeleton(b)) & (F.levenshtein(F.col(a), F.col(b), SLIPS) >= 0))
 
 
 def matches(asked: DataFrame, tables: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """(ord, kind, asked, owner, name, equal): index entries that stand for the same record as a text that is asked for.
 
-    asked: (ord, kind, text, fp). Block matches, then Hamming distance, then text. An entry may be met in several rotations.
+    asked: (ord, kind, text, fp). Block and shape match, then Hamming distance, then text. An entry is met in the first rotation whose blocks are equal.
     """
-    probe = block_tables(asked.select("ord", "kind", F.col("text").alias("asked"), F.col("fp").alias("asked_fp"), "fp"), blocks).drop("fp")
-    near = probe.join(tables, ["kind", "rotation", "block"]).where(F.bit_count(F.col("asked_fp").bitwiseXOR(F.col("fp"))) < blocks)
+    probe = _looked_up(block_tables(asked.select("ord", "kind", "text", F.col("fp").alias("asked_fp"), "fp", shape("text").alias("shape")), blocks)).drop("fp").withColumnRenamed("text", "asked")
+    entries = _looked_up(tables).select("kind", "rotation", "block", "shape", "text", "owner", "name", "fp")
+    differ = F.col("asked_fp").bitwiseXOR(F.col("fp"))
+    width = 64 // blocks
+    before = F.lit(True)
+    for i in range(blocks - 1):
+        before = before & ((F.col("rotation") <= i) | (F.shiftrightunsigned(differ, i * width).bitwiseAND(F.lit((1 << width) - 1)) != 0))
+    near = probe.join(entries, ["kind", "rotation", "block", "shape"]).where((F.bit_count(differ) < blocks) & before)
     return near.where(same_text("asked", "text")).where("owner < ord").select("ord", "kind", "asked", "owner", "name", (F.col("asked") == F.col("text")).alias("equal"))
 
 
@@ -175,11 +198,12 @@ class ReplayIndex:
 
     @property
     def tables(self) -> DataFrame:
-        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/step=*")
+        rows = self.spark.read.schema(ENTRY).parquet(f"{self.path}/step=*")
+        return rows.withColumn("shape", F.coalesce("shape", shape("text")))  # older folders have none
 
     def append(self, texts: DataFrame, step: str) -> None:
         """Add (kind, text, owner, name, fp) entries; files are sorted by block, so that row groups can be passed over."""
-        rows = block_tables(texts, self.blocks).select("kind", "text", "owner", "name", "fp", "rotation", "block")
+        rows = block_tables(texts.withColumn("shape", shape("text")), self.blocks).select("kind", "text", "owner", "name", "fp", "rotation", "block", "shape")
         rows.sortWithinPartitions("rotation", "block").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/step=of-{step}")
 
     def load_history(self, battles: DataFrame) -> None:
@@ -196,7 +220,7 @@ class ReplayIndex:
         """
         save, drop = self.scratch.save, self.scratch.drop
         keys = save(keyed(arrivals, F.col("row_id"), "battle_id").withColumn("fp", fingerprint("text")))
-        own = block_tables(keys.groupBy("kind", "text", "fp").agg(F.min(F.struct("ord", "battle_id")).alias("o")).select("kind", "text", F.col("o.ord").alias("owner"), F.col("o.battle_id").alias("name"), "fp"), self.blocks)
+        own = block_tables(keys.groupBy("kind", "text", "fp").agg(F.min(F.struct("ord", "battle_id")).alias("o")).select("kind", "text", F.col("o.ord").alias("owner"), F.col("o.battle_id").alias("name"), "fp", shape("text").alias("shape")), self.blocks)
         hits = save(matches(keys, self.tables.unionByName(own.select(*[f.split()[0] for f in ENTRY.split(", ")])), self.blocks).distinct())
         links = hits.groupBy(F.col("ord").alias("row_id")).agg(F.min(F.struct("owner", "name")).alias("o")).select("row_id", "o.owner", "o.name")
         links = self._followed(links)
@@ -232,7 +256,8 @@ def found(battles: DataFrame, arrivals: DataFrame, blocks: int = BLOCKS, rows_at
     """(row_id, first_battle_id): arrivals that repeat an accepted battle or an earlier arrival.
 
     The accepted battles are indexed, then the batches are accepted in order. Batches that wait
-    together are looked up together, up to `rows_at_once` arrivals; how they are grouped changes no row. Rows
+    together are looked up together, up to `rows_at_once` arrivals or as many as there are indexed texts, so that
+    the index is not read the more often the more there are of both; how they are grouped changes no row. Rows
     without an id and a place repeat nothing; rows without a row_id are left out, rows without a batch come
     first; repeated rows count once; empty tables give no rows.
     """
@@ -240,13 +265,14 @@ def found(battles: DataFrame, arrivals: DataFrame, blocks: int = BLOCKS, rows_at
     scratch = Scratch(spark, "p4")
     index = ReplayIndex(spark, f"{scratch.root}/index", blocks, scratch)
     index.load_history(battles)
+    at_once = max(rows_at_once, index.tables.count() // blocks)
     named = arrivals.where("row_id IS NOT NULL").withColumn("batch_no", F.coalesce("batch_no", F.lit(-1)))
     # one number per batch
     sizes = named.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n")).orderBy("batch_no").collect()
     groups: list[tuple[int, int]] = []
     held = 0
     for r in sizes:
-        if groups and held + r.n <= rows_at_once:
+        if groups and held + r.n <= at_once:
             groups[-1], held = (groups[-1][0], r.batch_no), held + r.n
         else:
             groups.append((r.batch_no, r.batch_no))

@@ -43,6 +43,25 @@ def test_index_is_opened_again_and_history_is_read_once(spark, tmp_path):
     assert index.tables.where("text = 'g-2'").count() == arrivals.BLOCKS
 
 
+def test_the_index_is_read_no_more_often_for_more_of_both(spark, monkeypatch):
+    battles = spark.createDataFrame([(f"g-{i}", f"data/a#row{i}", T, 1) for i in range(40)], BATTLE)
+    rows = spark.createDataFrame([(i, f"G-{i % 30}", None, "", i) for i in range(60)], ARRIVAL)
+    calls, accept = [], arrivals.ReplayIndex.accept
+    monkeypatch.setattr(arrivals.ReplayIndex, "accept", lambda *a: calls.append(a[2]) or accept(*a))
+    got = {r.row_id: r.first_battle_id for r in arrivals.found(battles, rows, rows_at_once=20).collect()}
+    assert got == {i: f"g-{i % 30}" for i in range(60)} and calls == ["0-59"]
+
+
+def test_entries_of_a_block_with_another_shape_are_not_compared(spark):
+    entry = lambda n, text: ("id", text, -1, n, 5)
+    index = spark.createDataFrame([entry("a", "playground-1"), entry("b", "playground-2"), entry("c", "plaiground-1")], "kind string, text string, owner long, name string, fp long")
+    asked = spark.createDataFrame([(1, "id", "playground-1", 5), (2, "id", "playgrount-2", 4)], "ord long, kind string, text string, fp long")
+    met = arrivals.matches(asked, arrivals.block_tables(index.withColumn("shape", arrivals.shape("text"))))
+    # one row each, though all three blocks of the first are equal
+    assert sorted((r.ord, r.name, r.equal) for r in met.collect()) == [(1, "a", True), (1, "c", False), (2, "b", False)]
+    assert "shape" in met._jdf.queryExecution().executedPlan().toString().split("Join [")[1].split("]")[0]
+
+
 def test_steps_back(spark):
     paths = [("a/b/../../data/x",), ("data/1/2/3/4/../../../../y",), ("../data/z",), ("data/..x/../w",)]
     got = [r[0] for r in spark.createDataFrame(paths, "p string").select(arrivals.replay_place(F.col("p"))).collect()]
